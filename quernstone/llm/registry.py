@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import runs, splits
+from quernstone.llm import brands, leaks, overlap, runs, splits, terms
 from quernstone.session import materialize, table
 
 EXAMPLES, SOURCES = "shopping_queries_dataset_examples", "shopping_queries_dataset_sources"
@@ -35,6 +35,29 @@ def p1_shares(spark, d):
     return splits.shares(materialize(_p1_split(spark, d), "split")[0])
 
 
+def _eval_rows(spark, d, *extra):
+    val, test = (table(spark, d, t).select("query_id", "query", "query_tokens", F.lit(t).alias("eval_split")) for t in ("val", "test"))
+    return val.unionByName(test)
+
+
+def _overlaps(spark, d):
+    return overlap.overlaps(overlap.texts(table(spark, d, "train")), overlap.texts(_eval_rows(spark, d)))
+
+
+def p2_found(spark, d):
+    return _overlaps(spark, d).select(F.least("eval_id", "train_id").alias("query_id_a"), F.greatest("eval_id", "train_id").alias("query_id_b")).distinct()
+
+
+def p2_counts(spark, d):
+    """Per evaluation split and source: all rows, those that overlap train, and the pairs. A query of several sources
+    counts under the first by name; unknown sources are one group."""
+    source = F.regexp_replace(F.lower(F.trim("source")), "[ -]+", "_")
+    sources = table(spark, d, SOURCES).groupBy("query_id").agg(F.min(source).alias("source"))
+    per_row = _overlaps(spark, d).groupBy(F.col("eval_id").alias("query_id")).agg(F.count("*").alias("pairs"))
+    rows = _eval_rows(spark, d).select("query_id", "eval_split").join(per_row, "query_id", "left").join(sources, "query_id", "left")
+    return rows.groupBy("eval_split", F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("*").alias("rows"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+
+
 def p3_found(spark, d):
     copies = runs.format_copies(table(spark, d, "train"), "query_id", "query")
     return copies.where("id <> rep").select(F.col("rep").alias("query_id_a"), F.col("id").alias("query_id_b"))
@@ -46,9 +69,86 @@ def p3_records(spark, d):
     return counts.select(F.col("rep").alias("query_id"), "copies")
 
 
+def p4_found(spark, d):
+    return p4_terms(spark, d).where("mark is not null").select("field_name", "term", "mark")
+
+
+def p4_terms(spark, d):
+    """Every term of train with its exact occurrences, records and mark."""
+    return terms.table_terms(table(spark, d, "train").select(*terms.FIELDS))
+
+
+def p4_incremental(spark, d):
+    """A store that held train and val and is brought to train and test by the changes alone: val's rows go, test's come."""
+    train, val, test = (table(spark, d, t).select("query_id", *terms.FIELDS) for t in ("train", "val", "test"))
+    store = terms.TermStore(spark)
+    store.merge(terms.term_changes(train.unionByName(val), None))
+    added, deleted = terms.changed_rows(train.unionByName(val), train.unionByName(test), "query_id")
+    store.merge(terms.term_changes(added, deleted))
+    return terms.marked(store.counts())
+
+
+def _brand_spans(spark, d):
+    train = table(spark, d, "train").where("query_id is not null").select("query_id", "query_tokens", "ner_tags")
+    return brands.spans(train, "query_id", "query_tokens", "ner_tags", "BRAND"), table(spark, d, "brand_reference").select("brand_id", "brand_name")
+
+
+def p5_found(spark, d):
+    found, reference = _brand_spans(spark, d)
+    mapped = brands.map_spans(brands.spelled_otherwise(found, reference), reference)
+    return mapped.select(F.col("id").alias("query_id"), "span_start", F.col("entry").alias("brand_id"))
+
+
+def p5_mapping(spark, d):
+    """Every brand mention of train with its entry, or -1, and its distance."""
+    found, reference = _brand_spans(spark, d)
+    return brands.map_spans(found, reference).select(F.col("id").alias("query_id"), "span_start", "text", F.col("entry").alias("brand_id"), "distance")
+
+
+def p5_unmatched(spark, d):
+    """The spellings of train that no entry is near, with their number of mentions."""
+    return p5_mapping(spark, d).where("brand_id = -1").groupBy("text").agg(F.count("*").alias("mentions"))
+
+
+def _leaks(spark, d):
+    return leaks.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_passages").select("item_id", "text"))
+
+
+def p6_found(spark, d):
+    return _leaks(spark, d).where(F.col("run") >= leaks.WINDOW).select("doc_id", "item_id").distinct()
+
+
+def p6_leaks(spark, d):
+    """All leaks, also those with up to two word edits in twelve words."""
+    return _leaks(spark, d)
+
+
+def p6_items(spark, d):
+    """Per test item: in how many documents it leaked."""
+    return leaks.leaked_items(_leaks(spark, d), table(spark, d, "eval_passages").select("item_id", "eval_split"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
 
+_TERMS_SQL = """
+WITH rows AS ({rows}),
+fields AS (SELECT 'query_tokens' AS field_name, row_number() OVER () AS r, query_tokens AS arr FROM rows WHERE query_tokens IS NOT NULL
+  UNION ALL SELECT 'ner_tags', row_number() OVER (), ner_tags FROM rows WHERE ner_tags IS NOT NULL),
+el AS (SELECT field_name, r, lower(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS term FROM (SELECT field_name, r, unnest(arr) AS t FROM fields) WHERE t IS NOT NULL),
+counts AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT r) AS records FROM el WHERE term <> '' GROUP BY ALL),
+totals AS (SELECT field_name, count(*) AS total FROM fields GROUP BY ALL),
+marked AS (SELECT c.field_name, term, occurrences, records, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.05 * total THEN 'common' END AS mark FROM counts c JOIN totals USING (field_name))
+"""
+_COLS = "query_id, query_tokens, ner_tags"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL that says the same; the other problems' queries are held against brute force in tests/llm."""
+    train = _TERMS_SQL.format(rows=f"SELECT {_COLS} FROM train")
+    return {
+        "p4_found": train + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
+        "p4_terms": train + "SELECT * FROM marked",
+        "p4_incremental": _TERMS_SQL.format(rows=f"SELECT {_COLS} FROM train UNION ALL SELECT {_COLS} FROM test") + "SELECT * FROM marked",
+    }

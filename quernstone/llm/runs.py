@@ -69,19 +69,19 @@ def runs(records: DataFrame) -> DataFrame:
     return rows.join(ahead, "part", "left").select("id", F.when(F.col("first_run"), F.coalesce("ahead", "rep")).otherwise(F.col("rep")).alias("rep"))
 
 
-def keyed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key) of the rows whose text has content. The key is the canonical record; a plain text whose characters are
+def keyed(rows: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
+    """(id, key, kept columns) of the rows whose text has content. The key is the canonical record; a plain text whose characters are
     those of a field record takes that record's key, so that both readings of a copy meet."""
-    fold = rows.where(~is_blank(F.col(text_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), folded(F.col(text_col)).alias("fold"))
-    both = fold.select("id", record_key(F.col("fold")).alias("key"), plain_key(F.col("fold")).alias("plain")).where("key is not null")
+    fold = rows.where(~is_blank(F.col(text_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), folded(F.col(text_col)).alias("fold"), *keep)
+    both = fold.select("id", *keep, record_key(F.col("fold")).alias("key"), plain_key(F.col("fold")).alias("plain")).where("key is not null")
     fields = both.where(F.col("key").startswith("|"))
     links = fields.groupBy("plain").agg(F.min("key").alias("low"), F.max("key").alias("high"))
     if not links.where("low <> high").isEmpty():
         links = _closure(fields.select("plain", "key").distinct())
     else:
         links = links.select("plain", F.col("low").alias("common"))
-    plain = both.where(~F.col("key").startswith("|")).join(links, "plain", "left").select("id", F.coalesce("common", "key").alias("key"))
-    return plain.unionByName(fields.join(links, "plain").select("id", F.col("common").alias("key")))
+    plain = both.where(~F.col("key").startswith("|")).join(links, "plain", "left").select("id", F.coalesce("common", "key").alias("key"), *keep)
+    return plain.unionByName(fields.join(links, "plain").select("id", F.col("common").alias("key"), *keep))
 
 
 def _closure(pairs: DataFrame) -> DataFrame:
