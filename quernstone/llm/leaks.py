@@ -75,7 +75,10 @@ class PieceIndex:
                 if high - low >= WINDOW or (len(own) <= WINDOW and high - low == len(own)):
                     edits = 0
                 elif edits:
+                    held = set(words[max(0, low + off - WINDOW - BUDGET) : high + off + WINDOW + BUDGET])
                     for at in range(max(0, low + PIECE - WINDOW), max(1, min(high - PIECE, len(own) - WINDOW) + 1)):
+                        if sum(w in held for w in own[at : at + WINDOW]) < min(WINDOW, len(own)) - BUDGET:
+                            continue  # more edits than the budget, whatever their order
                         around = words[max(0, at + off - BUDGET) : at + off + WINDOW + BUDGET]
                         edits = min(edits, min(self._pattern(item, at).distances(around, inside=True), default=edits))
                 found[item] = (run, edits)
