@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import brands, leaks, overlap, runs, splits, terms
+from quernstone.llm import brands, leaks, mixture, overlap, runs, splits, terms
 from quernstone.session import materialize, table
 
 EXAMPLES, SOURCES = "shopping_queries_dataset_examples", "shopping_queries_dataset_sources"
@@ -128,6 +128,20 @@ def p6_items(spark, d):
     return leaks.leaked_items(_leaks(spark, d), table(spark, d, "eval_passages").select("item_id", "eval_split"))
 
 
+def _mix(spark, d):
+    return mixture.mix(table(spark, d, "documents").select("doc_id", "source", "text"), table(spark, d, "mixture_targets"))
+
+
+def p7_selection(spark, d):
+    """The documents of the mixture with their tokens and copies."""
+    return _mix(spark, d)[0]
+
+
+def p7_report(spark, d):
+    """Per source: wanted and reached tokens and share, repeats, and what fell short; the total size is in every row."""
+    return _mix(spark, d)[1]
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
