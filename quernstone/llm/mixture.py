@@ -111,8 +111,8 @@ def dependent_rounding(rows: DataFrame, seed: int = 17, block: int = BLOCK) -> D
     n, level, out = open_.count(), 0, []
     while n:
         blocks = max(1, -(-n // block))
-        # neighbours in size meet: blocks are ranges of a size class, hashed where a class is larger than a block
-        size = F.floor(F.log2(F.col("tokens") + 1) * 4) if level == 0 else F.lit(0)
+        # neighbours in size meet: by sorting within a block and, where there are several, by size classes
+        size = F.floor(F.log2(F.col("tokens") + 1) * 4) if blocks > 1 and level == 0 else F.lit(0)
         own = F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(blocks)).alias("block")
         grouped = open_.withColumn("class", size).withColumn("block", own).groupBy("source", "class", "block")
         rounded, _ = materialize(grouped.applyInPandas(_rounder(seed, level), _ROUNDED), f"rounded-{level}")

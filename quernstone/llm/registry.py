@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import brands, leaks, mixture, overlap, runs, splits, terms
+from quernstone.llm import brands, leaks, mixture, overlap, runs, splits, terms, toxicity
 from quernstone.session import materialize, table
 
 EXAMPLES, SOURCES = "shopping_queries_dataset_examples", "shopping_queries_dataset_sources"
@@ -142,6 +142,23 @@ def p7_report(spark, d):
     return _mix(spark, d)[1]
 
 
+def p8_scores(spark, d):
+    """Every document with its score and the offsets of its abusive spans."""
+    documents = table(spark, d, "documents")
+    tagger = toxicity.train(toxicity.labelled_sample(documents.select("doc_id", "text"), table(spark, d, "doc_labels")))
+    return toxicity.score(documents, tagger)
+
+
+def p8_found(spark, d):
+    return p8_scores(spark, d).where(F.col("score") > toxicity.THRESHOLD).select("doc_id").distinct()
+
+
+def p8_rates(spark, d):
+    """Per source: documents, those found abusive, and the rate."""
+    flagged = p8_scores(spark, d).groupBy(mixture.source_name(F.col("source")).alias("source")).agg(F.count("*").alias("documents"), F.count_if(F.col("score") > toxicity.THRESHOLD).alias("abusive"))
+    return flagged.withColumn("rate", F.col("abusive") / F.col("documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
