@@ -1,9 +1,12 @@
 """Queries over the engine's own operators: name -> (spark, sf_dir) -> DataFrame, each with its DuckDB counterpart."""
 
+from quernstone.plans import data_queries, report_queries, tag_queries  # noqa: F401  (they register themselves)
+from quernstone.plans.base import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
