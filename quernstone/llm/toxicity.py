@@ -30,7 +30,7 @@ MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 3_000, 6_000, 50_000
 BITS, CHAIN, MIN_DOCS, THRESHOLD = 18, 60, 3, 0.5
 
 # fixed values: Cyrillic and Greek letters that look Latin, and signs that stand for letters
-LOOKALIKE = str.maketrans("абвгдеёзіїјкмнорстухѕԁԛԝαβγεικνορτυχ", "abbrдeeзiijkmhopctyxsdqwabyeiknoptux")
+LOOKALIKE = str.maketrans("абвгдеёзіїјкмнорстухѕԁԛԝαβγεικνορτυχ", "abbrdeeziijkmhopctyxsdqwabyeiknoptux")
 SIGNS = str.maketrans("0134578@$!|+", "oieastbasiit")
 _TAG = regex.compile(r"<[^<>]*>")
 _SPACED = regex.compile(r"(?<![\p{L}\p{N}])\p{L}(?:([ ._\-])\p{L})(?:\1\p{L})+(?![\p{L}\p{N}])(?![._\-]\p{L})")
