@@ -45,7 +45,7 @@ def common_errors(rows: DataFrame, n: int = 20) -> DataFrame:
 
 def top(counts: DataFrame, by: list[str], n: int, *keys: str) -> DataFrame:
     w = Window.partitionBy(*by or [F.lit(1)]).orderBy(F.desc("n"), *keys)
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return counts.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
 
 
 def type_confusion(rows: DataFrame, n: int = 20) -> DataFrame:

@@ -105,7 +105,7 @@ def upper_median(rows: DataFrame, column: str, by: list[str] | None = None) -> D
 
 def ranked(rows: DataFrame, by: list[Column]) -> DataFrame:
     """Rows numbered 1..n in the order of ``by``; meant for the few rows of a result table."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*by)))
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(*by)).cast("long"))
 
 
 def latency(rows: DataFrame, by: list[str], value: str, run: str, warmup: int = 10) -> DataFrame:

@@ -43,7 +43,7 @@ def bm25(queries: DataFrame, idx: tuple[DataFrame, DataFrame, DataFrame], k: int
 
 
 def top_k(scores: DataFrame, k: int | None, score: str = "score") -> DataFrame:
-    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "doc_id")))
+    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "doc_id")).cast("long"))
     return ranked.where(F.col("rank") <= k) if k else ranked
 
 

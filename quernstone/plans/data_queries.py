@@ -223,7 +223,7 @@ def suffix_ngrams(spark, d):
 
 @query("SELECT query_id, coalesce(length(query), 0) AS chars, coalesce(len(query_tokens), -1) AS tokens FROM train")
 def computed_columns(spark, d):
-    return table(spark, d, "train").select("query_id", F.coalesce(F.length("query"), F.lit(0)).alias("chars"), F.coalesce(F.size("query_tokens"), F.lit(-1)).alias("tokens"))
+    return table(spark, d, "train").select("query_id", F.coalesce(F.length("query"), F.lit(0)).cast("long").alias("chars"), F.coalesce(F.size("query_tokens"), F.lit(-1)).cast("long").alias("tokens"))
 
 
 @query("SELECT count(*) - count(DISTINCT query) AS duplicated FROM train WHERE query IS NOT NULL")
