@@ -40,11 +40,12 @@ def span_counts(df: DataFrame, by: list[str], decoder: str = S.STRICT, gold: str
 
 
 def span_prf(df: DataFrame, by: list[str], decoder: str = S.STRICT, types: list[str] | None = None, **columns: str) -> DataFrame:
-    """Per group and entity type, with the row ``ALL`` for the micro average."""
+    """Per group and entity type, with the row ``ALL`` for the micro average; without groups there is that row even if there
+    are no spans."""
     counts = span_counts(df, by, decoder, **columns)
     if types:
         counts = counts.where(F.col("entity_type").isin(types))
-    sums = [F.sum(c).alias(c) for c in ("gold_spans", "pred_spans", "matched")]
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("gold_spans", "pred_spans", "matched")]
     every = counts.groupBy(*by).agg(*sums).withColumn("entity_type", F.lit("ALL"))
     both = counts.unionByName(every)
     return both.select(*by, "entity_type", "gold_spans", "pred_spans", "matched", *prf(F.col("matched"), F.col("pred_spans"), F.col("gold_spans")))
