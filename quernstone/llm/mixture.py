@@ -107,22 +107,22 @@ def dependent_rounding(rows: DataFrame, seed: int = 17, block: int = BLOCK) -> D
     ``doc_id`` is unique. A source of any size is split into blocks of about ``block`` documents; every level of the tree
     leaves one open document a block, so the levels grow with the logarithm of the rows.
     """
-    open_ = rows.select("doc_id", "source", "tokens", "prob")
-    n, level, out = open_.count(), 0, []
-    while n:
-        blocks = max(1, -(-n // block))
-        # neighbours in size meet: by sorting within a block and, where there are several, by size classes
-        size = F.floor(F.log2(F.col("tokens") + 1) * 4) if blocks > 1 and level == 0 else F.lit(0)
-        own = F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(blocks)).alias("block")
-        grouped = open_.withColumn("class", size).withColumn("block", own).groupBy("source", "class", "block")
-        rounded, _ = materialize(grouped.applyInPandas(_rounder(seed, level), _ROUNDED), f"rounded-{level}")
-        out.append(rounded.where("taken").select("doc_id", "source"))
-        open_ = rounded.where("not taken").select("doc_id", "source", "tokens", "prob")
-        n, level = open_.count(), level + 1
-        if n and blocks == 1 and level > 1:  # one a source: the last fraction is a single draw
+    open_, level, out = rows.select("doc_id", "source", "tokens", "prob"), 0, []
+    while True:
+        counts = open_.groupBy("source").agg(F.count("*").alias("n"))
+        most = counts.agg(F.max("n")).first()[0] or 0
+        if most <= 1:  # at most one a source: its fraction is a single draw
             last = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
             out.append(open_.where(last < F.col("prob")).select("doc_id", "source"))
             break
+        blocks = counts.select("source", F.ceil(F.col("n") / block).alias("blocks"))
+        # neighbours in size meet: by sorting within a block and, where a source has several, by size classes at first
+        size = F.when(F.col("blocks") > 1, F.floor(F.log2(F.col("tokens") + 1) * 4)).otherwise(F.lit(0)) if level == 0 else F.lit(0)
+        own = F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("blocks"))
+        grouped = open_.join(F.broadcast(blocks), "source").withColumn("class", size).withColumn("block", own).groupBy("source", "class", "block")  # a row a target source
+        rounded, _ = materialize(grouped.applyInPandas(_rounder(seed, level), _ROUNDED), f"rounded-{level}")
+        out.append(rounded.where("taken").select("doc_id", "source"))
+        open_, level = rounded.where("not taken").select("doc_id", "source", "tokens", "prob"), level + 1
     result = rows.select("doc_id", "source").limit(0)
     for part in out:
         result = result.unionByName(part)
