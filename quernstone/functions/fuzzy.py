@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ def common_length(a: str, b: str) -> int:
     return len(a) - s.bit_count()
 
 
+@lru_cache(maxsize=200_000)
 def ratio(a: str, b: str) -> float:
     """200 * LCS / (len a + len b); two empty texts are equal."""
     if a == b:
@@ -42,10 +45,11 @@ def best_window(tokens: list[str], phrase: str, threshold: float = THRESHOLD) ->
     if want in windows:
         i = windows.index(want)
         return i, i + m - 1
-    best, at = 0.0, None
+    best, at, letters = 0.0, None, set(want)
     for i, w in enumerate(windows):
-        # what the lengths allow at most
-        if 200.0 * min(len(w), len(want)) / (len(w) + len(want)) < max(threshold, best):
+        # what the lengths, and the letters that the window lacks, allow at most
+        most = min(len(w), len(want) - len(letters.difference(w)))
+        if 200.0 * most / (len(w) + len(want)) < max(threshold, best):
             continue
         r = ratio(w, want)
         if r >= threshold and r > best:
