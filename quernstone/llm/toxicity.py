@@ -3,7 +3,8 @@
 Labels say of a document that something in it is abusive, not where. Training therefore alternates: the present model
 says which sentences of a positive document are meant (at first word statistics do), their words become labelled tokens,
 and the chain is fitted again; sentences of negative documents are labelled clean. Forward-backward marginals give the
-probability that a word is inside an abusive span; a sentence scores by its words' mean, a document by its worst sentence.
+probability that a word is inside an abusive span. A document scores by its worst span (the mean of the span's words), so it
+is found whenever a span is tagged; long sentences are read in overlapping chains.
 
 Words are read through the usual disguises: zero-width characters, look-alike letters, digits and signs for letters,
 stretched, starred, swapped and spaced-out letters.
@@ -27,7 +28,7 @@ from quernstone.llm.lexicon import ABUSIVE, CLASSES, INNOCENT
 
 # bounds of the labelled sample the model is fitted on; everything is scored
 MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 3_000, 6_000, 50_000
-BITS, CHAIN, MIN_DOCS, THRESHOLD = 18, 60, 3, 0.5
+BITS, CHAIN, OVERLAP, MIN_DOCS, THRESHOLD = 18, 60, 30, 3, 0.5
 
 # fixed values: Cyrillic and Greek letters that look Latin, and signs that stand for letters
 LOOKALIKE = str.maketrans("абвгдеёзіїјкмнорстухѕԁԛԝαβγεικνορτυχ", "abbrdeeziijkmhopctyxsdqwabyeiknoptux")
@@ -47,7 +48,7 @@ _MARKED = frozenset(w for name in ("insult", "slight", "sex", "body", "base", "h
 
 
 def tokens(text: str) -> Iterator[list[tuple[int, int, str]]]:
-    """Sentences as lists of (start, end, raw word), in chains of at most CHAIN words; offsets are those of ``text``."""
+    """Whole sentences as lists of (start, end, raw word); offsets are those of ``text``."""
     blank = lambda m: " " * len(m.group())
     text = _TAG.sub(blank, text)
     at = 0
@@ -61,12 +62,38 @@ def tokens(text: str) -> Iterator[list[tuple[int, int, str]]]:
                 if e > s:
                     out.append((at + s, at + e, regex.sub(r"[ ._\-]", "", part[s:e])))
                 i = e
-            for k in range(0, len(out), CHAIN):
-                yield out[k : k + CHAIN]
+            if out:
+                yield out
         if cut:
             at = cut.end()
 
 
+def chains(n: int) -> list[tuple[int, int]]:
+    """Where chains of at most CHAIN of a sentence's n words start and end; neighbours share at least OVERLAP words."""
+    starts = [*range(0, max(n - CHAIN, 0), CHAIN - OVERLAP), max(n - CHAIN, 0)]
+    return [(a, min(a + CHAIN, n)) for a in starts]
+
+
+def joined(parts: list[np.ndarray], n: int) -> np.ndarray:
+    """Figures of a sentence's words from those of its chains; each word's come from the chain that shows most around it."""
+    out, cuts = np.zeros(n, dtype=np.float32), chains(n)
+    for k, (a, b) in enumerate(cuts):
+        lo = (a + cuts[k - 1][1]) // 2 if k else a
+        out[lo:b] = parts[k][lo - a :]
+    return out
+
+
+def spans(p: np.ndarray) -> list[tuple[int, int]]:
+    """First and last word of each run of words that are more likely abusive than THRESHOLD."""
+    on = np.concatenate([[False], p > THRESHOLD, [False]])
+    return list(zip(np.flatnonzero(on[1:] & ~on[:-1]).tolist(), (np.flatnonzero(on[:-1] & ~on[1:]) - 1).tolist()))
+
+
+def best(p: np.ndarray) -> float:
+    """The greatest mean of a span; without one, the likeliest word."""
+    return max((float(p[a : b + 1].mean()) for a, b in spans(p)), default=float(p.max(initial=0)))
+
+
 def plain(word: str) -> str:
     w = _CF.sub("", unicodedata.normalize("NFKC", _CF.sub("", word))).lower()
     if not w.isascii() and any("a" <= c <= "z" for c in w) or any(c in "іѕј" for c in w):
@@ -260,20 +287,16 @@ class Tagger:
     def documents(self, texts: list[str]) -> list[tuple[float, list[int], list[int]]]:
         """(score, starts, ends of the abusive spans) of each text."""
         read = [self.read(t) for t in texts]
-        probs = iter(self.words([ids for doc in read for _, ids in doc]))
+        probs = iter(self.words([ids[a:b] for doc in read for _, ids in doc for a, b in chains(len(ids))]))
         out = []
         for doc in read:
             score, starts, ends = 0.0, [], []
             for s, _ in doc:
-                p = next(probs)
-                score = max(score, float(p.mean()))
-                on = p > THRESHOLD
-                for i in np.flatnonzero(on & ~np.concatenate([[False], on[:-1]])):
-                    j = i
-                    while j + 1 < len(on) and on[j + 1]:
-                        j += 1
-                    starts.append(s[i][0])
-                    ends.append(s[j][1])
+                p = joined([next(probs) for _ in chains(len(s))], len(s))
+                score = max(score, best(p))
+                for a, b in spans(p):
+                    starts.append(s[a][0])
+                    ends.append(s[b][1])
             out.append((score, starts, ends))
         return out
 
@@ -296,7 +319,7 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 6) -> Ta
             sentences.append(ids)
         return where[key]
 
-    docs = [(sorted({known([w for _, _, w in s]) for s in tokens(t) if s}), y) for t, y in sample]
+    docs = [(sorted({known([w for _, _, w in s[a:b]]) for s in tokens(t) for a, b in chains(len(s))}), y) for t, y in sample]
     seed_of = {known(doc[0]): y for doc, y in seeds}
     n = len(sentences)
     pos, neg = np.zeros(n), np.zeros(n)
@@ -342,7 +365,7 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 6) -> Ta
         use = np.flatnonzero(w > 0)
         tagger = Tagger(reader, Chain())
         tagger.chain.fit([sentences[i] for i in use], y[use], w[use], reader.bits, epochs)
-        label = np.array([float(p.mean()) for p in tagger.words(sentences)])
+        label = np.array([best(p) for p in tagger.words(sentences)])
     tagger._seen.clear()
     return tagger
 

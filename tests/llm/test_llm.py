@@ -303,3 +303,23 @@ def test_tagger_on_held_out_documents(spark):
     got = {r.doc_id: r.score for r in toxicity.score(docs, tagger).collect()}
     assert got[1] > 0.5 and got[2] == 0 and got[3] == 0 and got[4] < 0.5
     assert toxicity.train([]).documents(["you are an idiot"])[0][0] > 0.5
+
+
+def test_a_short_span_in_a_long_sentence_is_found(monkeypatch):
+    tagger = toxicity.Tagger(toxicity.Reader(["idiot", "word"]), toxicity.Chain())
+    bad = tagger.reader.id("idiot")
+    monkeypatch.setattr(tagger, "words", lambda sentences: [np.where(s == bad, 0.9, 0.01).astype(np.float32) for s in sentences])
+    for n, at in ((20, 3), (200, 59), (200, 60), (75, 74)):
+        text = " ".join("idiot" if i in (at, at + 1) else "word" for i in range(n))
+        score, starts, ends = tagger.documents([text])[0]
+        assert score > toxicity.THRESHOLD and len(starts) == 1, (n, at)
+        assert set(text[starts[0] : ends[0]].split()) == {"idiot"}
+    assert tagger.documents(["word " * 100, ""])[0][0] < toxicity.THRESHOLD
+
+
+def test_chains_show_every_phrase_whole():
+    for n in (1, 60, 61, 90, 91, 500):
+        cuts = toxicity.chains(n)
+        assert all(b - a <= toxicity.CHAIN for a, b in cuts)
+        assert all(any(a <= i and min(i + toxicity.OVERLAP, n) <= b for a, b in cuts) for i in range(n))
+        assert toxicity.joined([np.arange(a, b) for a, b in cuts], n).tolist() == list(range(n))
