@@ -1,8 +1,9 @@
 """Abusive, hateful or sexual text: a linear-chain CRF over words, trained on labelled documents.
 
 Labels say of a document that something in it is abusive, not where. Training therefore alternates: the present model
-says which sentences of a positive document are meant (at first word statistics do), their words become labelled tokens,
-and the chain is fitted again; sentences of negative documents are labelled clean. Forward-backward marginals give the
+says which sentences of a positive document are meant (at first word statistics do) and which of their words, those of the
+word classes with them; these words become labelled spans, the rest of the sentence and the sentences of negative documents
+are labelled clean, and words, moves and start of the chain are fitted again. Forward-backward marginals give the
 probability that a word is inside an abusive span. A document scores by its worst span (the mean of the span's words), so it
 is found whenever a span is tagged; long sentences are read in overlapping chains.
 
@@ -165,6 +166,8 @@ def _one_edit(a: str, b: str) -> bool:
 
 
 _AT = {name: k for k, name in enumerate(CLASSES)}
+_TELLING = sum(1 << _AT[name] for name in ("insult", "slight", "sex", "body", "base", "harm"))
+_MEANT = sum(1 << _AT[name] for name in ("you", "group"))
 _PAIRS = [(_AT[a], _AT[b]) for a, b in (("group", "base"), ("group", "harm"), ("you", "insult"), ("you", "slight"), ("you", "harm"), ("you", "sex"), ("self", "insult"), ("sex", "body"), ("slight", "insult"), ("self", "harm"))]
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -178,6 +181,28 @@ def _mix(template: int, *parts: np.ndarray) -> np.ndarray:
     return ((h * _PRIMES[0]) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
+def _shifted(on: np.ndarray, by: int) -> np.ndarray:
+    out = np.zeros_like(on)
+    n = on.shape[1]
+    if abs(by) < n:
+        out[:, max(by, 0) : n + min(by, 0)] = on[:, max(-by, 0) : n - max(by, 0)]
+    return out
+
+
+def _closed(on: np.ndarray) -> np.ndarray:
+    """Gaps of at most two words closed."""
+    return on | np.logical_or.reduce([_shifted(on, a) & _shifted(on, -b) for a, b in ((1, 1), (1, 2), (2, 1))])
+
+
+def listed(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether the word classes point to a word of ``ids`` (sentences x words): telling words, who is meant close by, and
+    what lies between."""
+    own = bits[ids]
+    on = ((own & _TELLING) != 0) | (ids == 3)
+    near = np.logical_or.reduce([_shifted(on, k) for k in range(-3, 4)])
+    return _closed(on | near & ((own & _MEANT) != 0))
+
+
 def features(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Hashed features of every word of ``ids`` (sentences x words, 0 pads): neighbours, their n-grams and word classes."""
     n, length = ids.shape
@@ -188,13 +213,15 @@ def features(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
     all_bits = np.bitwise_or.reduce(bits[ids], axis=1)[:, None] + np.zeros_like(ids)
     first = ids[:, :1] + np.zeros_like(ids)
     second = (ids[:, 1:2] if length > 1 else ids[:, :1]) + np.zeros_like(ids)
+    on = listed(ids, bits)
+    zone = np.where(on.any(axis=1)[:, None], on, 2)  # what holds for a sentence counts apart outside its listed words
     parts = [(w[0],), (w[-1],), (w[1],), (w[-1], w[0]), (w[0], w[1]), (w[-2], w[-1], w[0]), (w[-1], w[0], w[1]), (w[0], w[1], w[2]), (w[-2], w[0]), (w[0], w[2]),
-             (c[0],), (c[-1], c[0]), (c[0], c[1]), (all_bits,), (c[0], all_bits), (first, all_bits), (first, second), (first, w[0])]
+             (c[0],), (c[-1], c[0]), (c[0], c[1]), (all_bits, zone), (c[0], all_bits), (first, all_bits, zone), (first, second, zone), (first, w[0])]
     out = [_mix(k + 1, *p) for k, p in enumerate(parts)]
     for a, b in _PAIRS:
-        out.append(_mix(200 + 16 * a + b, (all_bits >> a) & (all_bits >> b) & 1))
+        out.append(_mix(200 + 16 * a + b, (all_bits >> a) & (all_bits >> b) & 1, zone))
     for k in range(len(CLASSES)):
-        out.append(_mix(100 + k, (all_bits >> k) & 1))
+        out.append(_mix(100 + k, (all_bits >> k) & 1, zone))
     return np.stack(out, axis=2)
 
 
@@ -206,8 +233,8 @@ class Chain:
         self.moves = np.array([[2.0, -2.0], [-2.0, 2.0]])
         self.start = np.array([0.0, -1.0])
 
-    def marginals(self, feats: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """P(abusive) of each word and the expected number of each transition."""
+    def marginals(self, feats: np.ndarray, mask: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """P(abusive) of each word and the expected number of each transition, sentences counted by ``weight``."""
         n, length = mask.shape
         e = np.zeros((n, length, 2))
         e[..., 1] = self.weights[feats].sum(axis=2)
@@ -222,29 +249,39 @@ class Chain:
             bwd[t] = np.where(mask[:, t + 1, None], prev, 0)
         z = np.logaddexp(fwd[-1][:, 0], fwd[-1][:, 1])
         p = np.exp(np.clip(fwd[..., 1] + bwd[..., 1] - z, -60, 0)).T * mask
-        expected = np.zeros((2, 2))
-        for t in range(1, length):
-            on = bwd[t] + e[:, t]
-            for i in range(2):
-                for j in range(2):
-                    expected[i, j] += (np.exp(np.clip(fwd[t - 1][:, i] + self.moves[i, j] + on[:, j] - z, -60, 0)) * mask[:, t]).sum()
-        return p, expected
+        on = (bwd + e.transpose(1, 0, 2))[1:]
+        each = np.exp(np.clip(fwd[:-1, :, :, None] + self.moves + on[:, :, None, :] - z[:, None, None], -60, 0)) * mask.T[1:, :, None, None]
+        return p, (each if weight is None else each * weight[:, None, None]).sum(axis=(0, 1))
 
-    def fit(self, sentences: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, bits: np.ndarray, epochs: int, seed: int = 5) -> None:
+    def fit(self, sentences: list[np.ndarray], labels: list[np.ndarray], weight: np.ndarray, bits: np.ndarray, epochs: int, seed: int = 5) -> None:
+        """``labels`` has a 0 or 1 for every word; features, moves and start follow expected less observed counts."""
         rng = np.random.default_rng(seed)
-        batches = [(x, *_padded([sentences[i] for i in x])) for x in _by_length(sentences, 256)]
-        batches = [(x, features(ids, bits), mask) for x, ids, mask in batches]
+        batches = [(x, *_padded([sentences[i] for i in x]), _padded([labels[i] for i in x])[0]) for x in _by_length(sentences, 256)]
+        batches = [(weight[x], features(ids, bits), mask, y) for x, ids, mask, y in batches]
         squares = np.full(1 << BITS, 1e-2, dtype=np.float32)
+        squares_moves, squares_start = np.full((2, 2), 1e-2), np.full(2, 1e-2)
         for epoch in range(epochs):
             rate = 0.15 / (1 + 0.3 * epoch)
             for k in rng.permutation(len(batches)):
-                x, feats, mask = batches[k]
-                p, _ = self.marginals(feats, mask)
-                gap = ((p - labels[x][:, None] * mask) * weight[x][:, None]).astype(np.float32)
+                w, feats, mask, y = batches[k]
+                p, expected = self.marginals(feats, mask, w)
+                gap = ((p - y) * w[:, None]).astype(np.float32)
                 grad = np.bincount(feats.reshape(-1), weights=np.broadcast_to(gap[:, :, None], feats.shape).reshape(-1), minlength=1 << BITS).astype(np.float32)
                 grad += 1e-4 * self.weights
                 squares += grad * grad
                 self.weights -= rate * grad / np.sqrt(squares)
+                grad = expected - transitions(y, mask, w) + 1e-4 * self.moves
+                squares_moves += grad * grad
+                self.moves = self.moves - rate * grad / np.sqrt(squares_moves)
+                grad = gap[:, 0].sum(dtype=float) * np.array([-1.0, 1.0]) + 1e-4 * self.start
+                squares_start += grad * grad
+                self.start = self.start - rate * grad / np.sqrt(squares_start)
+
+
+def transitions(labels: np.ndarray, mask: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The number of each transition in labelled sentences, counted by ``weight``."""
+    both = np.broadcast_to(weight[:, None], mask[:, 1:].shape)[mask[:, 1:]]
+    return np.bincount((2 * labels[:, :-1] + labels[:, 1:])[mask[:, 1:]], weights=both, minlength=4).reshape(2, 2)
 
 
 def _padded(sentences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -301,6 +338,20 @@ class Tagger:
         return out
 
 
+def pointed(ids: np.ndarray, bits: np.ndarray, odds: list[float], p: np.ndarray | None = None) -> np.ndarray:
+    """A 0 or 1 for every word of an abusive sentence: the words that the classes or the model (``p``) point to, with who is
+    meant close by, else those of its most telling pairs (``odds`` of each pair); gaps of two words are closed."""
+    on = listed(ids[None, :], bits)[0]
+    if p is not None:
+        on |= p > THRESHOLD
+    if not on.any():
+        for k, x in enumerate(odds):
+            if x >= max(odds) - 1:
+                on[k : k + 2] = True
+        on |= not odds
+    return _closed(on[None, :])[0].astype(np.int64)
+
+
 def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 6) -> Tagger:
     """A tagger from (text, label) documents; without any it rests on the seed sentences."""
     split = [([[plain(w) for _, _, w in s] for s in tokens(t)], y) for t, y in sample]
@@ -340,7 +391,7 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 6) -> Ta
     guess = np.array([float(np.mean(sorted((odds(g) for g in gr), reverse=True)[:3])) if gr else 0.0 for gr in grams]) + telling
     label = 1 / (1 + np.exp(-(guess - 2.5)))
 
-    tagger = Tagger(reader, Chain())
+    tagger, probs = Tagger(reader, Chain()), [None] * n
     for r in range(rounds):
         target, weight = np.zeros(n), np.zeros(n)
         for doc, y in docs:
@@ -363,9 +414,11 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 6) -> Ta
             y[i], w[i] = s, 2.0
         w[y == 1] *= 2.0
         use = np.flatnonzero(w > 0)
+        words = [pointed(s, reader.bits, [odds(g) for g in zip(s[:-1].tolist(), s[1:].tolist())], probs[i]) if y[i] else np.zeros(len(s), dtype=np.int64) for i, s in ((i, sentences[i]) for i in use)]
         tagger = Tagger(reader, Chain())
-        tagger.chain.fit([sentences[i] for i in use], y[use], w[use], reader.bits, epochs)
-        label = np.array([best(p) for p in tagger.words(sentences)])
+        tagger.chain.fit([sentences[i] for i in use], words, w[use], reader.bits, epochs)
+        probs = tagger.words(sentences)
+        label = np.array([best(p) for p in probs])
     tagger._seen.clear()
     return tagger
 

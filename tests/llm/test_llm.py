@@ -323,3 +323,34 @@ def test_chains_show_every_phrase_whole():
         assert all(b - a <= toxicity.CHAIN for a, b in cuts)
         assert all(any(a <= i and min(i + toxicity.OVERLAP, n) <= b for a, b in cuts) for i in range(n))
         assert toxicity.joined([np.arange(a, b) for a, b in cuts], n).tolist() == list(range(n))
+
+
+def test_chain_fits_moves_and_start_to_spans_inside_sentences():
+    rng = np.random.default_rng(3)
+    sentences, labels = [], []
+    for _ in range(300):
+        s, n = rng.integers(10, 20, 12), int(rng.integers(2, 4))
+        a = int(rng.integers(1, 12 - n))
+        s[a : a + n] = rng.integers(20, 24, n)
+        sentences.append(s)
+        labels.append((s >= 20).astype(np.int64))
+    bits, chain, first = np.zeros(30, dtype=np.int64), toxicity.Chain(), toxicity.Chain()
+    chain.fit(sentences, labels, np.ones(300), bits, 6)
+    assert abs(chain.moves - first.moves).min() > 0.01 and abs(chain.start - first.start).min() > 0.01
+    assert chain.start[1] < chain.start[0]
+    mask = np.ones((300, 12), dtype=bool)
+    p, expected = chain.marginals(toxicity.features(np.stack(sentences), bits), mask, np.full(300, 2.0))
+    assert ((p > 0.5) == np.stack(labels)).mean() > 0.99
+    assert np.isclose(expected.sum(), 2 * 300 * 11)
+    counted = toxicity.transitions(np.array([[0, 1, 1, 0]]), np.array([[True, True, True, False]]), np.array([3.0]))
+    assert counted.tolist() == [[0, 3], [0, 3]]
+
+
+def test_spans_leave_the_rest_of_the_sentence():
+    clean = ["the lid fits and the shop sent a new one after two weeks", "we use it in the garage almost every day", "it holds water and is easy to clean"]
+    abuse = [f"the shop sent a {x} one after two weeks and told me that you are {y} so i left" for x in ("new", "red", "big", "small") for y in ("an idiot", "a moron", "a bastard", "a stupid loser")]
+    tagger = toxicity.train([(t, 0) for t in clean * 6] + [(t, 1) for t in abuse])
+    for text in abuse:
+        score, starts, ends = tagger.documents([text])[0]
+        got = " ".join(text[a:b] for a, b in zip(starts, ends))
+        assert score > toxicity.THRESHOLD and text.split()[-4] in got and len(got) < len(text) / 2, (text, got)
