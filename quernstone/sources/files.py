@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MAX_ROWS = 10_000  # of a printed table
 SEED_FOLDER = r"([^/]+)_seed(\d+)/[^/]+$"
 # fixed values: ways in which logs state a training time in seconds
 LOG_PATTERNS = (r"(?i)train_runtime['\"]?\s*[:=]\s*['\"]?(\d+\.?\d*)", r"(?i)training time\s*[:=]\s*(\d+\.?\d*)", r"(?i)total time\s*[:=]\s*(\d+\.?\d*)", r"(?i)finished in\s*(\d+\.?\d*)")
@@ -100,16 +101,24 @@ def read_fixed_width(spark: SparkSession, path: str, columns: list[str], skip: i
     return rows.select(F.get("c", F.lit(0)).alias("model"), *[F.get("c", F.lit(i + 1)).try_cast("double").alias(x) for i, x in enumerate(columns)])
 
 
+def _few(df: DataFrame, columns: list[str]) -> list:
+    """All rows of a table to print; it is an error if there are more than MAX_ROWS."""
+    rows = df.select(*columns).limit(MAX_ROWS + 1).collect()
+    if len(rows) > MAX_ROWS:
+        raise ValueError(f"a table of more than {MAX_ROWS} rows is not printed")
+    return rows
+
+
 def latex(df: DataFrame, columns: list[str], caption: str = "") -> str:
     """A LaTeX table of a result of a few rows."""
     esc = lambda x: re.sub(r"([_%&#])", r"\\\1", f"{x:.4f}" if isinstance(x, float) else str(x))
-    body = "\n".join(" & ".join(esc(r[c]) for c in columns) + r" \\" for r in df.select(*columns).limit(10_000).collect())
+    body = "\n".join(" & ".join(esc(r[c]) for c in columns) + r" \\" for r in _few(df, columns))
     head = " & ".join(map(esc, columns)) + r" \\"
     return f"\\begin{{table}}\n\\caption{{{esc(caption)}}}\n\\begin{{tabular}}{{{'l' * len(columns)}}}\n\\hline\n{head}\n\\hline\n{body}\n\\hline\n\\end{{tabular}}\n\\end{{table}}\n"
 
 
 def markdown(df: DataFrame, columns: list[str]) -> str:
-    rows = df.select(*columns).limit(10_000).collect()
+    rows = _few(df, columns)
     cell = lambda x: f"{x:.4f}" if isinstance(x, float) else str(x)
     return "\n".join(["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *("| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in rows)]) + "\n"
 

@@ -196,3 +196,10 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = stateless.clean_stream(stateless.read_stream(spark, str(tmp_path / "in"), df.schema))
     stateless.write_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert sorted(r.query_clean for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["blue cup without lid", "red mug"]
+
+
+@pytest.mark.parametrize("form", [files.latex, files.markdown])
+def test_long_tables_are_not_cut(spark, form):
+    assert "9999" in form(spark.range(10_000), ["id"])
+    with pytest.raises(ValueError):
+        form(spark.range(10_001), ["id"])
