@@ -46,7 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def _fs(spark: SparkSession, path: str):
+def hadoop_fs(spark: SparkSession, path: str):
+    """The file system of a path, and the path as that system's own."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
@@ -64,7 +65,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that no later plan reads."""
     for path in paths:
-        fs, p = _fs(spark, path)
+        fs, p = hadoop_fs(spark, path)
         fs.delete(p, True)
         _LEFT.discard(path)
 
