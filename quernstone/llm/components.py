@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quernstone.session import discard, materialize
 
 LOCAL_EDGES = 4_000_000  # edges that one task may solve; 16 bytes each
-BROADCAST_LABELS = 1_000_000  # (node, label) rows that may be broadcast; 16 bytes each
+MERGE = 1_000_000  # edges that a task takes in before it contracts them
 
 
 def local_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,11 +43,24 @@ def local_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = [(x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False)) for x in batches if x.num_rows]
-    if got:
-        nodes, roots = local_labels(np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]))
-        for i in range(0, len(nodes), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(roots[i : i + 100_000])], ["node", "root"])
+    """Stars (node, root) of a partition's edges. Edges are contracted as they come, so a task holds its nodes, not its edges."""
+    nodes = roots = np.empty(0, dtype=np.int64)
+    held, size = [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        return local_labels(np.concatenate([nodes, *[x for x, _ in held]]), np.concatenate([roots, *[y for _, y in held]]))
+
+    for x in batches:
+        if x.num_rows:
+            held.append((x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False)))
+            size += x.num_rows
+            if size >= max(MERGE, len(nodes)):
+                nodes, roots = merged()
+                held, size = [], 0
+    if held:
+        nodes, roots = merged()
+    for i in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(roots[i : i + 100_000])], ["node", "root"])
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -80,17 +93,6 @@ def _solve(edges: DataFrame) -> DataFrame:
     return _stars(edges.coalesce(1)).select("node", F.col("root").alias("label"))
 
 
-def bounded(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows, without counting on beyond them."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def join_label(df: DataFrame, labels: DataFrame, on: str) -> DataFrame:
-    """Left join on a key that a third of the rows may share: broadcast below a checked size, else a shuffle that
-    adaptive execution splits at hot keys (``labels`` has one row a key)."""
-    return df.join(F.broadcast(labels) if bounded(labels, BROADCAST_LABELS) else labels.hint("merge"), on, "left")
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (its first two columns, bigint): label is the smallest node of the component.
 
@@ -105,4 +107,5 @@ def connected(edges: DataFrame) -> DataFrame:
     if links.isEmpty():
         return nodes.select("node", F.col("low").alias("label"))
     labels, _ = materialize(_solve(links), "labels")
-    return join_label(nodes.select("node", "low"), labels.select(F.col("node").alias("low"), "label"), "low").select("node", F.coalesce("label", "low").alias("label"))
+    # Spark broadcasts the labels where their file is small, else adaptive execution splits the side of a hot label
+    return nodes.select("node", "low").join(labels.select(F.col("node").alias("low"), "label"), "low", "left").select("node", F.coalesce("label", "low").alias("label"))
