@@ -2,11 +2,15 @@
 
 A text is the multiset of its words, each word numbered by occurrence so that multisets become sets. Two texts are near
 if their sets differ by at most one word on each side, so the larger of n and m words shares all but one. In any common
-order of the words, that many shared ones put at least one among the first two of either set: the prefixes. Words are
-ordered from rare to common; a bounded table of the common ones is broadcast, all others count as equally rare. A pair
-whose prefixes meet in a common word has only common words after it, so such texts meet in their sets less one word
-instead, which no hot word can blow up. One-word texts, whose words may differ by two edits, meet in pieces of them.
-Each candidate is verified.
+order of the words, that many shared ones put at least one among the first two of either set: the prefixes. Words stand
+in the order of their exact document frequency, from rare to common, so prefixes are as rare as can be. The prefixes of
+the evaluation texts are the index, those of the training texts probe it, length and position filters thin the hits, and
+each candidate is verified. The canonical record of a text is a shingle beside its words, by which texts meet that are
+the same but for formatting.
+
+A shingle that more than ``HOT`` texts hold on both sides is split into rarer ones: what is left of the text without one
+of its words, and with it a third of that word, as two words within two edits share one. So no shingle pairs more than
+``HOT`` texts of one side with those of the other. One-word texts have no rarer word and meet in the same way.
 """
 
 from __future__ import annotations
@@ -21,14 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.reading import folded, is_blank, words
+from quernstone.llm.reading import is_blank, words
 from quernstone.llm.runs import keyed
 from quernstone.session import materialize
 
 EDITS = 2
-COMMON = 20_000  # at most so many words count as common: those with over 1/COMMON of all words
+HOT = 256  # texts of the rarer side up to which a shingle's texts are paired as they are
 _DIGIT = regex.compile(r"\p{Nd}")
-_PREFIX = "side string, bag_id long, size int, shingle long, place int"
 
 
 def texts(rows: DataFrame) -> DataFrame:
@@ -85,38 +88,26 @@ def _word_shingles(side: str, w: str) -> set[int]:
     }
 
 
-def _shingles(side: str, words: list[str], common: dict[str, int]) -> set[tuple[int, int]]:
-    """(shingle, place in the prefix or -1) of one multiset of words."""
-    seen: dict[str, int] = {}
-    numbered = []
-    for w in words:
-        k = seen[w] = seen.get(w, 0) + 1
-        numbered.append((common.get(w, 0), w, k))
-    numbered.sort()
-    out = {(_hash("w", w, k), place) for place, (n, w, k) in enumerate(numbered[:2]) if not n}
-    if any(n for n, _, _ in numbered[:2]):
-        # the multiset and each of it less one word, as sums of the words' hashes; a chance equality is only a candidate
-        each = {w: _hash("r", w) for w in seen}
-        total = sum(each[w] for w in words)
-        out |= {(_hash("s", len(words), total), -1)}
-        if len(words) > 1:
-            out |= {(_hash("s", len(words) - 1, total - h), -1) for h in each.values()}
-    if len(words) == 1 and not _DIGIT.search(words[0]):
-        out |= {(x, -1) for x in _word_shingles(side, words[0])}
+def _shingles(side: str, own: list[str], under: str = "") -> set[int]:
+    """The rare shingles of a text under a hot one: two texts with it are near only if they share one of these. Equal texts
+    share the whole; a text and one with a word more share what that one is without the word; texts that differ in one
+    word each share what is left and a piece of these words."""
+    total = sum(_hash("r", w) for w in own)  # a chance equality is only a candidate
+    longer, shorter = ("b", "a") if side == "eval" else ("a", "b")  # texts of one size do not meet in what they are without a word
+    out = {_hash("s", under, len(own), total), _hash(shorter, under, len(own), total)}
+    for w in set(own):
+        rest = total - _hash("r", w)
+        if len(own) > 1:
+            out.add(_hash(longer, under, len(own) - 1, rest))
+        if not _DIGIT.search(w):
+            out |= {_hash("p", under, len(own), rest, x) for x in _word_shingles(side, w)}
     return out
 
 
-def _shingler(common):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranks = common.value
-        for pdf in batches:
-            rows = []
-            for side, bag_id, bag in zip(pdf["side"], pdf["bag_id"], pdf["bag"]):
-                own = bag.split(" ")
-                rows += [(side, bag_id, len(own), x, place) for x, place in _shingles(side, own, ranks)]
-            yield pd.DataFrame(rows, columns=["side", "bag_id", "size", "shingle", "place"])
-
-    return run
+def _splitter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(side, n, x) for side, n, bag, under in zip(pdf["side"], pdf["text_id"], pdf["bag"], pdf["shingle"]) for x in _shingles(side, bag.split(" "), str(under))]
+        yield pd.DataFrame(rows, columns=["side", "text_id", "shingle"])
 
 
 @F.pandas_udf(T.BooleanType())
@@ -124,38 +115,71 @@ def _near_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([near(x.split(" "), y.split(" ")) for x, y in zip(a, b)], dtype=bool)
 
 
-def near_bags(bags: DataFrame) -> DataFrame:
-    """(eval_bag, train_bag) of all near pairs; ``bags`` is (side, bag, bag_id), a bag being its sorted words."""
-    spark = bags.sparkSession
-    counts = bags.select(F.explode(F.split("bag", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counts, _ = materialize(counts, "word-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    common = spark.sparkContext.broadcast({r.word: r.n for r in counts.where(F.col("n") * COMMON > F.lit(total)).toLocalIterator()})  # under COMMON words
-    shingles, _ = materialize(bags.mapInPandas(_shingler(common), _PREFIX), "prefixes")
-    e = shingles.where("side = 'eval'").select("shingle", F.col("bag_id").alias("e"), F.col("size").alias("n"), F.col("place").alias("i"))
-    t = shingles.where("side = 'train'").select("shingle", F.col("bag_id").alias("t"), F.col("size").alias("m"), F.col("place").alias("j"))
-    met = e.join(t, "shingle").where("abs(n - m) <= 1 and (i < 0 or j < 0 or 1 + least(n - i, m - j) >= greatest(n, m))").select("e", "t").distinct()
-    full = met.join(bags.where("side = 'eval'").select(F.col("bag_id").alias("e"), F.col("bag").alias("eval_bag")), "e").join(bags.where("side = 'train'").select(F.col("bag_id").alias("t"), F.col("bag").alias("train_bag")), "t")
-    return full.where(_near_udf("eval_bag", "train_bag")).select("eval_bag", "train_bag")
+def prefixes(classes: DataFrame) -> DataFrame:
+    """(side, text_id, size, shingle, place) of ``classes`` (side, text_id, bag, key): the two rarest words of each text by
+    exact document frequency, and its record, at place -1."""
+    each = classes.where("bag <> ''").select("side", "text_id", F.explode(F.split("bag", " ")).alias("word"))
+    counts = each.groupBy("word").agg(F.count("*").alias("n"))
+    # a word that a third of the texts hold is one row of counts; adaptive execution splits its other side
+    ranked = each.join(counts, "word").groupBy("side", "text_id").agg(F.count("*").cast("int").alias("size"), F.slice(F.array_sort(F.collect_list(F.struct("n", "word"))), 1, 2).alias("first"))
+    # the second of two equal words is another element than the first
+    again = F.when(F.get("first", F.lit(1))["word"] == F.get("first", F.lit(0))["word"], 2).otherwise(1)
+    held = F.transform("first", lambda x, i: F.struct(F.xxhash64(F.lit("w"), x["word"], F.when(i == 0, 1).otherwise(again)).alias("shingle"), i.alias("place")))
+    rare = ranked.select("side", "text_id", "size", F.explode(held).alias("x")).select("side", "text_id", "size", "x.*")
+    record = classes.select("side", "text_id", F.lit(0).alias("size"), F.xxhash64(F.lit("k"), "key").alias("shingle"), F.lit(-1).alias("place"))
+    return rare.unionByName(record)
+
+
+def met(classes: DataFrame, hot: int = HOT) -> DataFrame:
+    """(e, t) of all evaluation and training texts that share a shingle and pass the length and position filters."""
+    found, _ = materialize(prefixes(classes), "prefixes")
+    on = lambda side: F.count_if(F.col("side") == side)
+    over, _ = materialize(found.where("place >= 0").groupBy("shingle").agg(F.least(on("eval"), on("train")).alias("n")).where(F.col("n") > hot).select("shingle"), "hot-shingles")
+    plain = found.join(over, "shingle", "left_anti")
+    side = lambda df, s, names: df.where(F.col("side") == s).select("shingle", *[F.col(a).alias(b) for a, b in names.items()])
+    e, t = (side(plain, s, {"text_id": a, "size": n, "place": i}) for s, a, n, i in (("eval", "e", "n", "i"), ("train", "t", "m", "j")))
+    pairs = e.join(t, "shingle").where("i = j and i < 0 or i >= 0 and j >= 0 and abs(n - m) <= 1 and 1 + least(n - i, m - j) >= greatest(n, m)").select("e", "t")
+    # what the hot shingles held, and the one-word texts, which have no second word
+    rest = found.join(over, "shingle").select("text_id", "shingle").unionByName(found.where("size = 1 and place = 0").select("text_id", F.lit(0).cast("long").alias("shingle")))
+    split, _ = materialize(rest.join(classes.select("text_id", "side", "bag"), "text_id").mapInPandas(_splitter, "side string, text_id long, shingle long"), "split-shingles")
+    pairs = pairs.unionByName(side(split, "eval", {"text_id": "e"}).join(side(split, "train", {"text_id": "t"}), "shingle").select("e", "t"))
+    return pairs.distinct()
+
+
+def text_classes(train: DataFrame, evaluation: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): members (side, id, text_id) of both sides, both as from :func:`texts`, and their distinct texts
+    (side, text_id, bag, key, copies), a bag being a text's sorted words and the key its record. Texts without a letter or
+    digit are left out."""
+    sides = [x.select(F.lit(side).alias("side"), "id", "text") for side, x in (("train", train), ("eval", evaluation))]
+    rows = keyed(sides[0].unionByName(sides[1]), "id", "text", "side", bag=lambda fold: F.array_join(F.array_sort(F.split(words(fold), " ")), " "))
+    classes, _ = materialize(rows.groupBy("side", "bag", "key").agg(F.count("*").alias("copies")).withColumn("text_id", F.monotonically_increasing_id()), "classes")  # numbers stay as written
+    members, _ = materialize(rows.join(classes.select("side", "bag", "key", "text_id"), ["side", "bag", "key"]).select("side", "id", "text_id"), "members")
+    return members, classes
+
 
+def class_pairs(classes: DataFrame, hot: int = HOT) -> DataFrame:
+    """(e, t): text_ids of every evaluation and training text that are the same record or near."""
+    known = lambda side, at, name: classes.where(F.col("side") == side).select(F.col("text_id").alias(at), F.col("bag").alias(f"{name}_bag"), F.col("key").alias(f"{name}_key"))
+    full = met(classes, hot).join(known("eval", "e", "eval"), "e").join(known("train", "t", "train"), "t")
+    same = F.col("eval_key") == F.col("train_key")
+    return full.where(same | _near_udf(F.when(~same, F.col("eval_bag")).otherwise(""), F.when(~same, F.col("train_bag")).otherwise(""))).select("e", "t")
 
-def overlaps(train: DataFrame, evaluation: DataFrame) -> DataFrame:
+
+def overlaps(train: DataFrame, evaluation: DataFrame, hot: int = HOT) -> DataFrame:
     """(eval_id, train_id) of all rows whose texts are the same record or near; both sides as from :func:`texts`.
 
-    Copies are the same text for the search and only meet again in the result. Texts without a letter or digit overlap
-    with nothing; empty tables give no rows.
+    Copies are one text for the search and only meet again in the result. Texts without a letter or digit overlap with
+    nothing; empty tables give no rows; a repeated id has the pairs of all its texts.
     """
-    sides = [x.select(F.lit(side).alias("side"), "id", "text") for side, x in (("train", train), ("eval", evaluation))]
-    rows, _ = materialize(sides[0].unionByName(sides[1]), "texts")
-    keys, _ = materialize(keyed(rows, "id", "text", "side"), "keys")
-    same = keys.where("side = 'eval'").select("key", F.col("id").alias("eval_id")).join(keys.where("side = 'train'").select("key", F.col("id").alias("train_id")), "key").select("eval_id", "train_id")
-    bagged = rows.select("side", "id", F.array_join(F.array_sort(F.split(words(folded(F.col("text"))), " ")), " ").alias("bag")).where("bag <> ''")
-    bagged, _ = materialize(bagged, "bags")
-    bags, _ = materialize(bagged.groupBy("side", "bag").agg(F.min("id").alias("bag_id")), "distinct-bags")
-    pairs = near_bags(bags)
-    close = (
-        pairs.join(bagged.where("side = 'eval'").select(F.col("bag").alias("eval_bag"), F.col("id").alias("eval_id")), "eval_bag")
-        .join(bagged.where("side = 'train'").select(F.col("bag").alias("train_bag"), F.col("id").alias("train_id")), "train_bag")
-        .select("eval_id", "train_id")
-    )
-    return same.unionByName(close).distinct()
+    members, classes = text_classes(train, evaluation)
+    of = lambda side, at: members.where(F.col("side") == side).select(F.col("id").alias(f"{side}_id"), F.col("text_id").alias(at))
+    return class_pairs(classes, hot).join(of("eval", "e"), "e").join(of("train", "t"), "t").select("eval_id", "train_id").distinct()
+
+
+def overlap_counts(train: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """(eval_id, pairs) of the evaluation rows with an overlap: how many training rows there are. Only distinct texts are
+    paired; copies are counted, not expanded."""
+    members, classes = text_classes(train, evaluation)
+    copies = classes.where("side = 'train'").select(F.col("text_id").alias("t"), "copies")
+    each = class_pairs(classes).join(copies, "t").groupBy("e").agg(F.sum("copies").alias("pairs"))
+    return members.where("side = 'eval'").select(F.col("id").alias("eval_id"), F.col("text_id").alias("e")).join(each, "e").groupBy("eval_id").agg(F.sum("pairs").alias("pairs"))
