@@ -2,19 +2,23 @@
 
 A change set turns into per-term changes of two counts, occurrences and records: an added record counts +1, a deleted one
 -1, a changed one -1 for its old and +1 for its new state, an unchanged one is not looked at. The changes are summed
-before the shuffle and merged into a store of counts partitioned by a hash of the term, one folder per version.
+before the shuffle and merged into a store of counts partitioned by a hash of the term; a merge reads and rewrites the
+partitions that hold changed terms and no others.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.session import scratch_path
+from quernstone.session import discard, hadoop_fs, materialize, scratch_path
 
 FIELDS = ("query_tokens", "ner_tags")
 COUNTS = "field_name string, term string, occurrences long, records long"
 RARE_ROWS, COMMON_SHARE = 2, 0.05
+BUCKET_TERMS = 250_000  # terms that one bucket holds when buckets are laid out anew; twice as many lay them out again
 
 
 def term(col: Column) -> Column:
@@ -55,28 +59,76 @@ def changed_rows(old: DataFrame, new: DataFrame, key: str, fields: tuple[str, ..
 
 
 class TermStore:
-    """Persistent counts: ``<path>/v=<n>/bucket=<hash of the term>``; readers see the newest finished version.
+    """Persistent counts under ``path``: ``data/v=<version>/bucket=<hash of the term>`` and a manifest per version that says
+    which version holds each bucket. A version exists once its manifest is renamed into place; readers, also those of
+    another session, see the newest. A writer that dies leaves nothing but files that no manifest names.
 
-    The null term of a field holds the number of records in which the field is not null.
+    The null term of a field holds the number of records in which the field is not null. There is one writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
-        self.spark, self.path, self.buckets, self.version = spark, path or scratch_path(spark, "terms"), buckets, 0
-
-    def counts(self) -> DataFrame:
-        """(field_name, term, occurrences, records) of the newest version."""
-        if not self.version:
+    def __init__(self, spark: SparkSession, path: str | None = None, bucket_terms: int = BUCKET_TERMS):
+        self.spark, self.path, self.bucket_terms = spark, path or scratch_path(spark, "terms"), bucket_terms
+
+    def versions(self) -> list[int]:
+        fs, p = hadoop_fs(self.spark, f"{self.path}/manifests")
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(x.removesuffix(".json")) for x in names if x.endswith(".json"))
+
+    def manifest(self, version: int | None = None) -> dict:
+        """version, buckets, terms and ``at``, the version of each bucket that holds any; of the newest version by default."""
+        known = self.versions()
+        version = version if version is not None else (known[-1] if known else 0)
+        if not version:
+            return {"version": 0, "buckets": 0, "terms": 0, "at": {}}
+        return json.loads(self.spark.read.text(f"{self.path}/manifests/{version}.json", wholetext=True).first()[0])
+
+    def _commit(self, manifest: dict) -> None:
+        name = f"{self.path}/manifests/{manifest['version']}.json"
+        fs, whole = hadoop_fs(self.spark, name)
+        _, part = hadoop_fs(self.spark, name + ".part")
+        out = fs.create(part, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if not fs.rename(part, whole):
+            raise RuntimeError(f"version {manifest['version']} of {self.path} exists already")
+
+    def counts(self, version: int | None = None) -> DataFrame:
+        """(field_name, term, occurrences, records) of a version, by default the newest."""
+        return self._read(self.manifest(version)["at"])
+
+    def _read(self, at: dict[str, int]) -> DataFrame:
+        if not at:
             return self.spark.createDataFrame([], COUNTS)
-        return self.spark.read.schema(COUNTS).parquet(f"{self.path}/v={self.version}").select("field_name", "term", "occurrences", "records")
+        return self.spark.read.schema(COUNTS).parquet(*[f"{self.path}/data/v={v}/bucket={b}" for b, v in at.items()])
 
     def merge(self, changes: DataFrame) -> None:
-        """Add signed changes and write the next version; terms that no longer occur go away."""
-        merged = changes.select("field_name", "term", "occurrences", "records")
-        if self.version:
-            merged = self.counts().unionByName(merged).groupBy("field_name", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("occurrences <> 0 or records <> 0")
-        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket")
-        merged.select("*", bucket).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(f"{self.path}/v={self.version + 1}")
-        self.version += 1
+        """Add signed changes and commit the next version; terms that no longer occur go away. No change, no version."""
+        old = self.manifest()
+        changes, path = materialize(changes.select("field_name", "term", "occurrences", "records"), "changes")
+        n = changes.count()
+        if not n:
+            discard(self.spark, path)
+            return
+        buckets, most = old["buckets"], 2 * self.bucket_terms
+        if not buckets or old["terms"] + n > most * buckets:
+            buckets = -(-(old["terms"] + n) // self.bucket_terms)
+        bucket = F.pmod(F.xxhash64("field_name", "term"), F.lit(buckets)).cast("int").alias("bucket")
+        if buckets == old["buckets"]:  # as many rows as buckets
+            touched = [str(r.bucket) for r in changes.select(bucket).distinct().collect()]
+        else:
+            touched = list(old["at"])  # all are laid out anew
+        held = self._read({b: old["at"][b] for b in touched if b in old["at"]})
+        sums = [F.sum(c).alias(c) for c in ("occurrences", "records")]
+        merged = held.unionByName(changes).groupBy("field_name", "term").agg(*sums).where("occurrences <> 0 or records <> 0")
+        version, data = old["version"] + 1, f"{self.path}/data/v={old['version'] + 1}"
+        merged.select("*", bucket).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
+        written = self.spark.read.schema(COUNTS + ", bucket int").parquet(data).groupBy("bucket").agg(F.count("*").alias("n")).collect()
+        kept = {} if buckets != old["buckets"] else {b: v for b, v in old["at"].items() if b not in set(touched)}
+        sizes = {} if buckets != old["buckets"] else {b: old["sizes"][b] for b in kept}
+        sizes |= {str(r.bucket): r.n for r in written}
+        at = kept | {str(r.bucket): version for r in written}
+        self._commit({"version": version, "buckets": buckets, "terms": sum(sizes.values()), "at": at, "sizes": sizes})
+        discard(self.spark, path)
 
 
 def marked(counts: DataFrame, rare_rows: int = RARE_ROWS, common_share: float = COMMON_SHARE) -> DataFrame:
@@ -87,12 +139,18 @@ def marked(counts: DataFrame, rare_rows: int = RARE_ROWS, common_share: float =
     return counts.where("term is not null").join(F.broadcast(totals), "field_name").select("field_name", "term", "occurrences", "records", mark.alias("mark"))
 
 
-def table_terms(rows: DataFrame, store: TermStore | None = None) -> DataFrame:
-    """Marked counts of a whole table: its rows are the first change set of a store.
+def table_terms(rows: DataFrame, earlier: DataFrame | None = None, store: TermStore | None = None, share: int = 8) -> DataFrame:
+    """Marked counts of a whole table, which reaches the store in two deltas, as a table does that is loaded and later
+    changed: first all rows but one in ``share`` and the rows of ``earlier``, then the others come and those of ``earlier``
+    go. A store that is given keeps what it held.
 
     Null and blank elements are no terms, null arrays are no records of their field, empty arrays are; repeated rows
     count again, extra columns are ignored, an empty table has no terms.
     """
     store = store or TermStore(rows.sparkSession)
-    store.merge(term_changes(rows, None))
+    rows = rows.select(*FIELDS)
+    late = F.pmod(F.xxhash64(*FIELDS), F.lit(share)) == 0
+    first = rows.where(~late)
+    store.merge(term_changes(first if earlier is None else first.unionByName(earlier.select(*FIELDS)), None))
+    store.merge(term_changes(rows.where(late), earlier))
     return marked(store.counts())
