@@ -1,21 +1,31 @@
-"""Splits that keep related queries together: components, label vectors, grouped iterative stratification."""
+"""Splits that keep related queries together: components, label vectors, grouped iterative stratification.
+
+Groups are placed by their label vectors, the group with the rarest outstanding label first and the one with more of it
+before others, each into the split that needs most of that label. Groups of equal labels are alike to this rule, so they
+are dealt in one step, as many to each split as its need is of all need; what does not divide goes one by one to the split
+that needs it most. Among groups of equal labels, those of more queries go where queries are lacking. So the driver sees
+one row a vector, in order and one at a time, and never a group.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import groupby, islice
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernstone.llm.components import BROADCAST_LABELS, bounded, connected, join_label
+from quernstone.llm.components import connected
 from quernstone.llm.runs import format_copies
-from quernstone.session import materialize
+from quernstone.session import materialize, scratch_path
 
 PRODUCT_BASE = 1 << 62  # product nodes lie above all query ids, so a component's smallest node is a query
 LABELS = ("E", "S", "C", "I")
 RATIOS = {"train": 0.70, "val": 0.15, "test": 0.15}
-BUCKETS = 1024  # units per leading label that small groups are hashed into
-BIG_SHARE = 2000  # a group with at least 1/BIG_SHARE of the queries is a unit of its own, so there are at most BIG_SHARE
+DIMS = (*LABELS, "n")
+QUERIES = 8  # how much a split's need of queries counts beside that of the lead label, for the groups that do not divide
+PART = 50_000  # groups of one vector that are ranked in one task; rows of the plan that the driver holds
 
 
 def product_id(col: Column) -> Column:
@@ -42,15 +52,6 @@ def query_labels(examples: DataFrame, tables: list[DataFrame]) -> DataFrame:
     return connected(judged.toDF("a", "b").unionByName(copies.toDF("a", "b")))
 
 
-def groups_found(examples: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """(group_product_id, query_id) of all queries in groups of at least two that have a product."""
-    labels, _ = materialize(query_labels(examples, tables), "labels")
-    query = F.col("node") < PRODUCT_BASE
-    groups = labels.groupBy("label").agg(F.count_if(query).alias("n"), F.min(F.when(~query, F.col("node"))).alias("product"))
-    named = groups.where("n >= 2 and product is not null").select("label", product_of(F.col("product")).alias("group_product_id"))
-    return join_label(labels.where(query), named, "label").where("group_product_id is not null").select("group_product_id", F.col("node").alias("query_id"))
-
-
 def esci(col: Column) -> Column:
     """E, S, C or I from its spellings (any case, padding, whole words); null for the rest."""
     head = F.upper(F.substring(F.regexp_replace(col, r"(?U)^\s+|\s+$", ""), 1, 1))
@@ -58,56 +59,124 @@ def esci(col: Column) -> Column:
 
 
 def query_groups(examples: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """(query_id, grp, n, E, S, C, I): every query of any table with its group and which labels it was ever judged with."""
+    """(query_id, grp, product, n, E, S, C, I): every query of any table with its group, the group's smallest product node and
+    which labels it was ever judged with."""
     flags = [F.max((esci(F.col("esci_label")) == x).cast("int")).alias(x) for x in LABELS]
     seen = examples.select("query_id", "esci_label").unionByName(reduce(DataFrame.unionByName, [t.select("query_id", F.lit(None).cast("string").alias("esci_label")) for t in tables]))
     vectors = seen.where("query_id is not null").groupBy("query_id").agg(*flags).na.fill(0, list(LABELS)).withColumn("n", F.lit(1))
-    labels = query_labels(examples, tables).where(F.col("node") < PRODUCT_BASE).toDF("query_id", "label")
-    return vectors.join(labels, "query_id", "left").select("query_id", F.coalesce("label", "query_id").alias("grp"), "n", *LABELS)
-
-
-def place(units: list[dict], ratios: dict[str, float]) -> dict:
-    """Iterative stratification on the driver: the label with the fewest outstanding queries goes first; its units go,
-    largest first, to the split that lacks most of it. ``units`` hold key, n and one count per label."""
-    dims = [*LABELS, "n"]
-    need = {s: {d: r * sum(u[d] for u in units) for d in dims} for s, r in ratios.items()}
-    left, placed = {u["key"]: u for u in units}, {}
-    while left:
-        open_ = {d: sum(u[d] for u in left.values()) for d in LABELS}
-        d = min((x for x in LABELS if open_[x]), key=lambda x: (open_[x], x), default="n")
-        for u in sorted((u for u in left.values() if u[d]), key=lambda u: (-u[d], -u["n"], str(u["key"]))):
-            s = max(need, key=lambda s: (need[s][d], need[s]["n"], s))
-            placed[u["key"]] = s
-            for x in dims:
-                need[s][x] -= u[x]
-            del left[u["key"]]
-        if d == "n":
-            break
-    return placed
+    labels, _ = materialize(query_labels(examples, tables), "labels")
+    query = F.col("node") < PRODUCT_BASE
+    products = labels.where(~query).groupBy("label").agg(F.min("node").alias("product"))
+    of = labels.where(query).join(products, "label", "left").select(F.col("node").alias("query_id"), "label", "product")
+    return vectors.join(of, "query_id", "left").select("query_id", F.coalesce("label", "query_id").alias("grp"), "product", "n", *LABELS)
+
+
+def label_order(rows: DataFrame) -> list[str]:
+    """The labels by how rare they are among what is outstanding: once the groups with the first are placed, the next is the
+    rarest of the rest, and so on; last n, the queries without any label."""
+    order: list[str] = []
+    while len(order) < len(LABELS):
+        left = [x for x in LABELS if x not in order]
+        open_ = rows.where(" and ".join(f"{x} = 0" for x in order) or "true").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in left]).first()
+        order.append(min(left, key=lambda x: (open_[x] == 0, open_[x], x)))
+    return [*order, "n"]
+
+
+class Placer:
+    """What each split still needs of every label and of all queries, and the dealing of groups of equal labels."""
+
+    def __init__(self, totals: dict[str, int], ratios: dict[str, float]):
+        self.need = {s: {d: r * totals[d] for d in DIMS} for s, r in ratios.items()}
+        self.ratios = ratios
+
+    def deal(self, labels: dict[str, int], lead: str, sizes: list[tuple[int, int]]) -> list[dict[str, int]]:
+        """How many groups of each size go to each split; ``sizes`` has (queries, groups) of falling size. The lead label
+        decides how many of all groups a split gets, and what it lacks of all queries how large these are."""
+        need, count = self.need, sum(k for _, k in sizes)
+        lack = {s: max(0.0, x[lead]) for s, x in need.items()}
+        whole = sum(lack.values())  # at least what the groups hold of the label
+        open_ = {s: int(count * x / whole) if whole else 0 for s, x in lack.items()}
+        each, many = {"n": sizes[0][0]} | labels, {d: max(1.0, sum(abs(x[d]) for x in need.values())) for d in (lead, "n")}
+        # need of the lead label and of queries as parts of what is outstanding, against the split's share of the whole
+        most = lambda s: sum((need[s][d] - open_[s] * each[d]) / many[d] * (QUERIES if d == "n" else 1) for d in (lead, "n")) / self.ratios[s]
+        for _ in range(count - sum(open_.values())):
+            open_[max(need, key=lambda s: (most(s), self.ratios[s], s))] += 1
+        for s, k in open_.items():
+            for d in LABELS:
+                need[s][d] -= k * labels[d]
+        queries = {s: max(0.0, x["n"]) for s, x in need.items()}
+        all_queries, all_here = sum(queries.values()) or 1.0, sum(n * k for n, k in sizes)
+        want, least = {s: all_here * x / all_queries for s, x in queries.items()}, sizes[-1][0]
+        out = []
+        for n, k in sizes:
+            over = {s: max(0.0, want[s] - open_[s] * least) if open_[s] else 0.0 for s in need}
+            whole, got = sum(over.values()), dict.fromkeys(need, 0)
+            for s in need:
+                got[s] = min(open_[s], int(k * over[s] / whole)) if whole else 0
+            for _ in range(k - sum(got.values())):
+                s = max((s for s in need if open_[s] > got[s]), key=lambda s: ((want[s] - got[s] * n) / (open_[s] - got[s]), s))
+                got[s] += 1
+            for s in need:
+                open_[s] -= got[s]
+                want[s] -= got[s] * n
+                need[s]["n"] -= got[s] * n
+            out.append(got)
+        return out
+
+
+def place(vectors: Iterable[dict], totals: dict[str, int], ratios: dict[str, float]) -> Iterator[tuple]:
+    """(E, S, C, I, n, split, first, last): which of the groups of each vector, numbered from 1, go to a split. ``vectors`` come
+    in the order of placement, with their lead label and their number of groups."""
+    placer = Placer(totals, ratios)
+    for (lead, *counts), same in groupby(vectors, key=lambda v: (v["lead"], *[v[d] for d in LABELS])):
+        sizes = [(v["n"], v["groups"]) for v in same]
+        for (n, _), got in zip(sizes, placer.deal(dict(zip(LABELS, counts)), lead, sizes)):
+            at = 0
+            for s, k in got.items():
+                if k:
+                    yield (*counts, n, s, at + 1, at + k)
+                    at += k
 
 
 def stratified_split(rows: DataFrame, ratios: dict[str, float] = RATIOS) -> DataFrame:
-    """(query_id, grp, split, n, labels...) for the rows of :func:`query_groups`; no group is divided.
+    """(query_id, grp, product, split, n, labels...) for the rows of :func:`query_groups`; no group is divided.
 
-    Groups are never collected: one with at least 1/BIG_SHARE of all queries is a unit, the others are hashed into
-    BUCKETS units per rarest label, so the driver places at most BIG_SHARE + 5 * BUCKETS units of any number of groups.
     An empty input gives no rows. A group larger than a split's target overfills it; the reached shares say so.
     """
     spark = rows.sparkSession
     rows, _ = materialize(rows, "query-groups")
-    sums = [F.sum(x).alias(x) for x in ("n", *LABELS)]
-    total = rows.agg(*sums).first().asDict()
-    if not total["n"]:
+    sums = [F.sum(x).alias(x) for x in DIMS]
+    totals = rows.agg(*sums).first().asDict()
+    if not totals["n"]:
         return rows.withColumn("split", F.lit(None).cast("string"))
-    order = sorted(LABELS, key=lambda x: (total[x], x))
-    lead = F.coalesce(*[F.when(F.col(x) > 0, F.lit(x)) for x in order], F.lit("n"))
-    groups, _ = materialize(
-        rows.groupBy("grp").agg(*sums).withColumn("unit", F.when(F.col("n") * BIG_SHARE >= total["n"], F.concat(F.lit("g"), "grp")).otherwise(F.concat(lead, F.pmod(F.xxhash64("grp"), F.lit(BUCKETS))))), "groups"
-    )
-    units = [r.asDict() | {"key": r["unit"]} for r in groups.groupBy("unit").agg(*sums).toLocalIterator()]
-    placed = spark.createDataFrame(list(place(units, ratios).items()), "unit string, split string")
-    where = groups.select("grp", "unit").join(F.broadcast(placed), "unit").select("grp", "split")  # bounded by the units
-    return join_label(rows, where, "grp")
+    groups, _ = materialize(rows.groupBy("grp").agg(*sums), "groups")
+    order = label_order(groups)
+    step = F.coalesce(*[F.when(F.col(x) > 0, i) for i, x in enumerate(order)])
+    of_lead = F.coalesce(*[F.when(F.col(x) > 0, F.col(x)) for x in order])
+    vectors = groups.groupBy(*DIMS).agg(F.count("*").alias("groups")).withColumn("step", step)
+    vectors, _ = materialize(vectors, "vectors")
+    ordered = (r.asDict() | {"lead": order[r["step"]]} for r in vectors.orderBy("step", of_lead.desc(), *LABELS, F.desc("n")).toLocalIterator())
+    path, planned = scratch_path(spark, "plan"), place(ordered, totals, ratios)
+    schema = ", ".join(f"{d} long" for d in DIMS) + ", split string, first long, last long"
+    while part := list(islice(planned, PART)):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(path)
+    plan = spark.read.schema(schema).parquet(path)
+    # places 1..n of the groups of a vector: counts of parts come first, so a vector of any share of the groups is no one task
+    parts = vectors.select(*DIMS, F.ceil(F.col("groups") / PART).alias("parts"))
+    hashed = groups.join(parts, list(DIMS)).withColumn("part", F.pmod(F.xxhash64("grp"), F.col("parts"))).select("grp", *DIMS, "part")
+    sizes = hashed.groupBy(*DIMS, "part").agg(F.count("*").alias("size"))
+    before = sizes.withColumn("before", F.sum("size").over(Window.partitionBy(*DIMS).orderBy("part")) - F.col("size")).drop("size")
+    inside = F.row_number().over(Window.partitionBy(*DIMS, "part").orderBy("grp"))
+    numbered = hashed.withColumn("at", inside).join(before, [*DIMS, "part"]).withColumn("at", F.col("at") + F.col("before"))
+    placed = numbered.join(plan, list(DIMS)).where("at between first and last").select("grp", "split")
+    placed, _ = materialize(placed, "placed")
+    return rows.join(placed, "grp", "left")
+
+
+def found_groups(split: DataFrame) -> DataFrame:
+    """(group_product_id, query_id) of all queries in groups of at least two that have a product, from an assignment."""
+    large = split.groupBy("grp").agg(F.count("*").alias("queries")).where("queries >= 2").select("grp")
+    return split.where("product is not null").join(large, "grp", "left_semi").select(product_of(F.col("product")).alias("group_product_id"), "query_id")
 
 
 def shares(split: DataFrame, ratios: dict[str, float] = RATIOS) -> DataFrame:
@@ -120,5 +189,3 @@ def shares(split: DataFrame, ratios: dict[str, float] = RATIOS) -> DataFrame:
     sums = full.groupBy("label").agg(F.sum("queries").alias("total"))
     return full.join(sums, "label").select("split", "label", "target", "queries", F.coalesce(F.try_divide("queries", "total"), F.lit(0.0)).alias("share"))
 
-
-__all__ = ["BROADCAST_LABELS", "bounded", "groups_found", "query_groups", "query_labels", "shares", "stratified_split"]
