@@ -1,17 +1,15 @@
 """Freely typed brands mapped to a reference list by BK-trees under edit distance.
 
-Reference entries are read in shards of at most ``SHARD`` entries; each shard is broadcast as one BK-tree, every distinct
-mention is looked up in it, and the winners of the shards merge by (distance, entry). The triangle inequality lets a
-lookup skip every subtree whose distance to its parent cannot bring an entry within the threshold, so nothing within
-it is missed.
+Reference entries lie in shards of about ``SHARD`` entries, the distinct mentions in blocks. Every block meets every shard in
+one task, which makes the shard's BK-tree and looks the mentions up; the winners of the shards merge by (distance, entry).
+Neither list passes through the driver. The triangle inequality lets a lookup skip every subtree whose distance to its
+parent cannot bring an entry within the threshold, so nothing within it is missed.
 """
 
 from __future__ import annotations
 
 import unicodedata
-import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 import regex
@@ -19,13 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.components import bounded, join_label
 from quernstone.llm.reading import TRADEMARKS
 from quernstone.session import materialize
 
-SHARD = 20_000
+SHARD, MENTIONS = 20_000, 1_000  # entries of a shard, mentions of a block
 WITHIN = 2
-BROADCAST_NAMES = 100_000
 # fixed values: words that say nothing about a brand at the end of its name
 TRAILING = frozenset("inc co ltd llc gmbh company brand shop store official".split())
 
@@ -126,16 +122,6 @@ class BKTree:
         return min(self.within(key, most), default=None)
 
 
-_TREES: dict[str, BKTree] = {}
-
-
-def _tree(name: str, shard) -> BKTree:
-    if name not in _TREES:
-        _TREES.clear()  # a worker holds one shard at a time
-        _TREES[name] = BKTree(shard.value)
-    return _TREES[name]
-
-
 @F.pandas_udf(T.StringType())
 def brand_key_udf(col: pd.Series) -> pd.Series:
     return col.map(lambda s: None if s is None else brand_key(s))
@@ -155,38 +141,62 @@ def spans(rows: DataFrame, id_col: str, tokens: str, tags: str, kind: str) -> Da
     return at.select("id", F.col("span_start").cast("long").alias("span_start"), F.array_join(held, " ").alias("text"))
 
 
-def closest_entries(texts: DataFrame, reference: DataFrame, within: int = WITHIN, shard: int = SHARD) -> DataFrame:
+def _search(within: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trees: dict[tuple[int, int], tuple[list, list]] = {}
+        for pdf in batches:  # rows of a block and shard: first its entries, then its mentions, as sorted
+            for at, part in pdf.groupby(["block", "shard"], sort=False):
+                entries, mentions = trees.setdefault(at, ([], []))
+                given = part["entry"].notna()
+                entries += zip(part["key"][given], part["entry"][given].astype("int64"))
+                mentions += part["key"][~given].to_list()
+            for at in list(trees)[:-1]:  # later rows belong to the last one
+                yield _closest(*trees.pop(at), within)
+        for entries, mentions in trees.values():
+            yield _closest(entries, mentions, within)
+
+    return run
+
+
+def _closest(entries: list[tuple[str, int]], mentions: list[str], within: int) -> pd.DataFrame:
+    tree = BKTree(entries)
+    hits = [(key, *hit) for key in mentions if (hit := tree.closest(key, within))]
+    return pd.DataFrame(hits, columns=["key", "distance", "entry"])
+
+
+def closest_entries(texts: DataFrame, reference: DataFrame, within: int = WITHIN, shard: int = SHARD, block: int = MENTIONS) -> DataFrame:
     """(text, entry, distance) for the distinct ``texts`` (text string); entry -1 and no distance where none is near enough.
 
-    ``reference`` is (entry long, name string). Ties go to the smallest entry. Null names and ids are no entries.
+    ``reference`` is (entry long, name string). Ties go to the smallest entry. Null names and ids are no entries; names and
+    mentions without a letter or digit read as the empty word, which is as far from a key as the key is long. Blocks grow
+    with the shards, so that entries are not copied more often than there are mentions.
     """
-    spark = texts.sparkSession
     ref = reference.toDF("entry", "name").where("entry is not null and name is not null").select(brand_key_udf("name").alias("key"), F.col("entry").cast("long").alias("entry"))
+    ref, _ = materialize(ref, "reference")
     keyed, _ = materialize(texts.select("text").where("text is not null").distinct().select("text", brand_key_udf("text").alias("key")), "mentions")
-    n_shards = max(1, -(-ref.count() // shard))
-    parts = []
-    for k in range(n_shards):
-        own = ref if n_shards == 1 else ref.where(F.pmod(F.xxhash64("entry"), F.lit(n_shards)) == k)
-        held = spark.sparkContext.broadcast([(r.key, r.entry) for r in own.orderBy("entry").toLocalIterator()])  # about SHARD entries
-
-        def search(batches, held=held, name=uuid.uuid4().hex):
-            for pdf in batches:
-                hits = [(key, *hit) for key in pdf["key"] if (hit := _tree(name, held).closest(key, within))]
-                yield pd.DataFrame(hits, columns=["key", "distance", "entry"])
-
-        parts.append(keyed.select("key").distinct().mapInPandas(search, "key string, distance int, entry long"))
-    won = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.min(F.struct("distance", "entry")).alias("best"))
+    keys = keyed.select("key").distinct()
+    n_ref, n_keys = ref.count(), keys.count()
+    shards = max(1, -(-n_ref // shard))
+    blocks = max(1, -(-n_keys // max(block, min(n_ref, shard))))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda n, salt: F.pmod(F.xxhash64("key", F.lit(salt)), F.lit(n)).cast("int")
+    left = ref.withColumn("shard", of(shards, 1)).withColumn("block", every(blocks)).select("block", "shard", "key", "entry")
+    right = keys.withColumn("block", of(blocks, 2)).withColumn("shard", every(shards)).select("block", "shard", "key", F.lit(None).cast("long").alias("entry"))
+    # a number of partitions that is asked for is not coalesced, however small the rows are
+    laid = left.unionByName(right).repartition(shards * blocks, "block", "shard").sortWithinPartitions("block", "shard")
+    won = laid.mapInPandas(_search(within), "key string, distance int, entry long").groupBy("key").agg(F.min(F.struct("distance", "entry")).alias("best"))
     return keyed.join(won, "key", "left").select("text", F.coalesce("best.entry", F.lit(-1)).alias("entry"), F.col("best.distance").alias("distance"))
 
 
 def map_spans(found: DataFrame, reference: DataFrame, within: int = WITHIN) -> DataFrame:
     """``found`` (id, span_start, text) plus entry and distance. One mention may hold a third of the spans: mentions are
-    looked up once each and joined back by broadcast below a checked size, else by a shuffle split at hot keys."""
+    looked up once each and joined back, by broadcast where Spark sees that they are few, else by a shuffle that adaptive
+    execution splits at hot keys."""
     entries, _ = materialize(closest_entries(found, reference, within), "entries")
-    return join_label(found, entries, "text")
+    return found.join(entries, "text", "left")
 
 
 def spelled_otherwise(found: DataFrame, reference: DataFrame) -> DataFrame:
     """The spans whose text is no reference name, case aside."""
     names = reference.toDF("entry", "name").where("name is not null").select(F.lower("name").alias("low")).distinct()
-    return found.withColumn("low", F.lower("text")).join(F.broadcast(names) if bounded(names, BROADCAST_NAMES) else names, "low", "left_anti").drop("low")
+    return found.withColumn("low", F.lower("text")).join(names, "low", "left_anti").drop("low")
