@@ -15,14 +15,14 @@ def _tagged(spark: SparkSession, d: str) -> list[DataFrame]:
     return [table(spark, d, t) for t in ("train", "val", "test")]
 
 
-def p1_found(spark, d):
-    return splits.groups_found(table(spark, d, EXAMPLES), _tagged(spark, d))
-
-
 def _p1_split(spark, d):
     return splits.stratified_split(splits.query_groups(table(spark, d, EXAMPLES), _tagged(spark, d)))
 
 
+def p1_found(spark, d):
+    return splits.found_groups(_p1_split(spark, d))
+
+
 def p1_assignment(spark, d):
     return _p1_split(spark, d).select("query_id", "grp", "split")
 
@@ -53,7 +53,7 @@ def p2_counts(spark, d):
     counts under the first by name; unknown sources are one group."""
     source = F.regexp_replace(F.lower(F.trim("source")), "[ -]+", "_")
     sources = table(spark, d, SOURCES).groupBy("query_id").agg(F.min(source).alias("source"))
-    per_row = _overlaps(spark, d).groupBy(F.col("eval_id").alias("query_id")).agg(F.count("*").alias("pairs"))
+    per_row = overlap.overlap_counts(overlap.texts(table(spark, d, "train")), overlap.texts(_eval_rows(spark, d))).withColumnRenamed("eval_id", "query_id")
     rows = _eval_rows(spark, d).select("query_id", "eval_split").join(per_row, "query_id", "left").join(sources, "query_id", "left")
     return rows.groupBy("eval_split", F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("*").alias("rows"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
 
@@ -65,7 +65,7 @@ def p3_found(spark, d):
 
 def p3_records(spark, d):
     """One row per record of train with a representative and its number of copies."""
-    counts = runs.copy_counts(runs.format_copies(table(spark, d, "train"), "query_id", "query"))
+    counts = runs.copy_counts(table(spark, d, "train"), "query_id", "query")
     return counts.select(F.col("rep").alias("query_id"), "copies")
 
 
@@ -74,8 +74,9 @@ def p4_found(spark, d):
 
 
 def p4_terms(spark, d):
-    """Every term of train with its exact occurrences, records and mark."""
-    return terms.table_terms(table(spark, d, "train").select(*terms.FIELDS))
+    """Every term of train with its exact occurrences, records and mark: a store that was loaded with most of train and with
+    val, and is brought to train by the changes."""
+    return terms.table_terms(table(spark, d, "train"), table(spark, d, "val"))
 
 
 def p4_incremental(spark, d):
@@ -115,7 +116,7 @@ def _leaks(spark, d):
 
 
 def p6_found(spark, d):
-    return _leaks(spark, d).where(F.col("run") >= leaks.WINDOW).select("doc_id", "item_id").distinct()
+    return _leaks(spark, d).where((F.col("edits") == 0) & (F.col("item_words") >= leaks.WINDOW)).select("doc_id", "item_id")
 
 
 def p6_leaks(spark, d):

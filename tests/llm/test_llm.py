@@ -62,7 +62,7 @@ def test_format_copies(spark):
     for r in got.collect():
         groups[r.rep].add(r.id)
     assert dict(groups) == {3: {3, 5, 9}, 4: {4, 8, 7, 6}, 10: {10}, 11: {11}, 13: {13, 14}}
-    assert {r.rep: r.copies for r in runs.copy_counts(got).collect()}[3] == 4
+    assert {r.rep: r.copies for r in runs.copy_counts(df, "query_id", "query").collect()} == {3: 4, 4: 4, 10: 1, 11: 1, 13: 2}
     assert runs.format_copies(df.limit(0), "query_id", "query").count() == 0
 
 
@@ -71,20 +71,31 @@ def test_runs_across_partitions(spark):
     df = spark.createDataFrame(rows, "key string, id long").repartition(5)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {r.id: r.rep for r in runs.runs(df).collect()}
+        scan = runs.scanned(df).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     least = {}
     for k, i in rows:
         least[k] = min(i, least.get(k, i))
-    assert got == {i: least[k] for k, i in rows}
+    assert {r.id: r.rep for r in scan if r.kind == "id"} == {i: least[k] for k, i in rows}
+    copies = Counter()
+    for r in scan:
+        if r.kind == "run":
+            copies[r.rep] += r.copies
+    assert copies == Counter(least[k] for k, _ in rows)
+
+
+def test_readings_that_hang_together(spark):
+    rows = [(1, "a:bc; d:e"), (2, "abcde"), (3, "ab:c; d:e"), (4, "d:e; a:bc"), (5, "d=e | ab=c"), (6, "abcdef")]
+    got = runs.format_copies(spark.createDataFrame(rows, "query_id long, query string"), "query_id", "query").collect()
+    assert {r.id: r.rep for r in got} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6}
 
 
 def test_groups_and_split(spark):
     ex = spark.createDataFrame([(1, "b000000001", "E"), (2, " B000000001 ", "S"), (3, "N/A", "E"), (4, None, "exact"), (2, "B00000000A", None), (6, "B00000000A", "C"), (None, "B000000001", "E"), (1, "b000000001", "E")], "query_id long, product_id string, esci_label string")
     none = spark.createDataFrame([], "query_id long, query string")
     train = spark.createDataFrame([(3, "red mug"), (7, "Red MUG"), (6, "blue"), (8, None)], "query_id long, query string")
-    got = sorted(map(tuple, splits.groups_found(ex, [train, none]).collect()))
+    got = sorted(map(tuple, splits.found_groups(splits.stratified_split(splits.query_groups(ex, [train, none]))).collect()))
     assert got == [("B000000001", 1), ("B000000001", 2), ("B000000001", 6)]
     rows = splits.stratified_split(splits.query_groups(ex, [train, none])).collect()
     assert sorted(r.query_id for r in rows) == [1, 2, 3, 4, 6, 7, 8]
@@ -92,30 +103,65 @@ def test_groups_and_split(spark):
     for r in rows:
         by[r.grp].add(r.split)
     assert all(len(x) == 1 for x in by.values())
-    assert splits.groups_found(ex.limit(0), [none]).count() == 0
     assert splits.stratified_split(splits.query_groups(ex.limit(0), [none])).count() == 0
 
 
 def test_split_reaches_its_shares():
     rng = random.Random(3)
-    units = [{"key": str(i), "n": 1, **{x: int(rng.random() < p) for x, p in zip("ESCI", (0.6, 0.5, 0.1, 0.4))}} for i in range(2000)]
-    placed = splits.place(units, splits.RATIOS)
-    for x in ("n", *"ESCI"):
-        total = sum(u[x] for u in units)
-        share = sum(u[x] for u in units if placed[u["key"]] == "train") / total
-        assert abs(share - 0.7) < 0.02, x
-
-
-def test_overlaps_against_all_pairs(spark):
+    groups = [{"n": rng.choice((1, 1, 2, 3, 9)), **{x: int(rng.random() < p) for x, p in zip("ESCI", (0.6, 0.5, 0.1, 0.4))}} for _ in range(2000)]
+    groups.append({"n": 400, "E": 300, "S": 200, "C": 30, "I": 100})
+    totals = {d: sum(u[d] for u in groups) for d in splits.DIMS}
+    order = sorted(splits.LABELS, key=lambda x: totals[x]) + ["n"]
+    vectors = [dict(zip(splits.DIMS, v)) | {"groups": k, "lead": next(x for x in order if v[splits.DIMS.index(x)])} for v, k in Counter(tuple(u[d] for d in splits.DIMS) for u in groups).items()]
+    vectors.sort(key=lambda v: (order.index(v["lead"]), -v[v["lead"]], *[v[x] for x in splits.LABELS], -v["n"]))
+    got, dealt = Counter(), Counter()
+    for row in splits.place(vectors, totals, splits.RATIOS):
+        vector, (split, first, last) = row[:5], row[5:]
+        assert first == dealt[vector] + 1
+        dealt[vector] = last
+        for d, x in zip(splits.DIMS, vector):
+            got[split, d] += x * (last - first + 1)
+    assert dealt == Counter({tuple(v[d] for d in splits.DIMS): v["groups"] for v in vectors})
+    for s, r in splits.RATIOS.items():
+        for d in splits.DIMS:
+            assert abs(got[s, d] / totals[d] - r) < 0.01, (s, d)
+
+
+@pytest.mark.parametrize("part", [50_000, 3])
+def test_groups_of_one_vector_are_dealt(spark, monkeypatch, part):
+    monkeypatch.setattr(splits, "PART", part)
+    ex = spark.createDataFrame([(i, f"B{i // 2:09d}", "E") for i in range(200)] + [(900 + i, None, "S") for i in range(100)], "query_id long, product_id string, esci_label string")
+    rows = splits.stratified_split(splits.query_groups(ex, [ex.select("query_id", F.lit(None).cast("string").alias("query")).limit(0)])).collect()
+    assert Counter(r.split for r in rows if r.E) == {"train": 140, "val": 30, "test": 30}
+    assert Counter(r.split for r in rows if r.S) == {"train": 70, "val": 15, "test": 15}
+
+
+@pytest.mark.parametrize("hot", [256, 0])
+def test_overlaps_against_all_pairs(spark, hot):
     rng = random.Random(5)
     vocabulary = ["red", "blue", "mug", "lamp", "desk", "steel", "stel", "lamps", "5", "3.5", "xylofon", "xylophon", "a"]
     make = lambda n: [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 5))) for _ in range(n)]
     train, ev = [*make(150), "desklamp red", "xylofonbrandname", "!!"], [*make(60), "desk lamp red", "xylophonbrandname", "?"]
     frame = lambda rows, at: spark.createDataFrame([(at + i, t, None) for i, t in enumerate(rows)], "query_id long, query string, query_tokens array<string>")
-    got = {(r.eval_id, r.train_id) for r in overlap.overlaps(overlap.texts(frame(train, 0)), overlap.texts(frame(ev, 10_000))).collect()}
+    got = {(r.eval_id, r.train_id) for r in overlap.overlaps(overlap.texts(frame(train, 0)), overlap.texts(frame(ev, 10_000)), hot).collect()}
     words = lambda t: reading.words_text(t).split()
     want = {(10_000 + i, j) for (i, a), (j, b) in itertools.product(enumerate(ev), enumerate(train)) if words(a) and words(b) and ("".join(words(a)) == "".join(words(b)) or overlap.near(words(a), words(b)))}
     assert got == want
+    pairs = {r.eval_id: r.pairs for r in overlap.overlap_counts(overlap.texts(frame(train, 0)), overlap.texts(frame(ev, 10_000))).collect()}
+    assert pairs == Counter(i for i, _ in want)
+
+
+@pytest.mark.parametrize("hot", [1_000, 5])
+def test_a_hot_word_pairs_what_is_near(spark, hot):
+    """A third of the texts hold one word; the near ones among them are found whether the word is split or not."""
+    words = [f"{a}{b}{c}" for a in "bcdf" for b in "aeiou" for c in ("rn", "st", "lk")]
+    train = [(i, f"{w} mug") for i, w in enumerate(words)] + [(500, "mug"), (501, "mug 7"), (502, "mug mug")]
+    ev = [(1000 + i, f"mug {w}s") for i, w in enumerate(words)] + [(2000, "mug")]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    _, classes = overlap.text_classes(frame(train), frame(ev))
+    assert hot == 1_000 or classes.where("side = 'eval'").count() > hot
+    got = {(r.eval_id, r.train_id) for r in overlap.overlaps(frame(train), frame(ev), hot).collect()}
+    assert got == {(i, j) for (i, a), (j, b) in itertools.product(ev, train) if overlap.near(a.split(), b.split())}
 
 
 def test_overlap_texts(spark):
@@ -166,6 +212,29 @@ def test_term_deltas_equal_a_recount(spark):
     assert terms.table_terms(old.limit(0)).count() == 0
 
 
+def test_term_store_outlives_its_session_object(spark, tmp_path):
+    changes = lambda *rows: spark.createDataFrame(rows, terms.COUNTS)
+    path = f"file://{tmp_path}/terms"
+    first = terms.TermStore(spark, path, bucket_terms=4)
+    assert first.counts().count() == 0
+    first.merge(changes(*[("query_tokens", f"t{i}", 2, 1) for i in range(20)]))
+    again = terms.TermStore(spark, path, bucket_terms=4)
+    old = again.manifest()
+    assert old["version"] == 1 and old["buckets"] == 5 and old["terms"] == 20
+    again.merge(changes(("query_tokens", "t3", -2, -1), ("query_tokens", "t4", 1, 0)))
+    new = terms.TermStore(spark, path, bucket_terms=4).manifest()
+    assert new["version"] == 2 and new["terms"] == 19
+    assert 1 <= sum(v == 2 for v in new["at"].values()) <= 2 < sum(v == 1 for v in new["at"].values())  # only what changed is written
+    got = {r.term: (r.occurrences, r.records) for r in first.counts().collect()}
+    assert got == {f"t{i}": (3, 1) if i == 4 else (2, 1) for i in range(20) if i != 3}
+    assert {r.term for r in first.counts(1).collect()} == {f"t{i}" for i in range(20)}
+    first.merge(changes(*[("ner_tags", f"u{i}", 1, 1) for i in range(40)]))  # laid out anew
+    grown = again.manifest()
+    assert grown["buckets"] > 5 and grown["terms"] == 59 and set(grown["at"].values()) == {3}
+    again.merge(changes())
+    assert again.manifest()["version"] == 3
+
+
 def test_brand_keys():
     same = [("Nara Skoldgralton", "nara-sk​oldgralton™"), ("Cov & Grass", "cov and grass"), ("Fluxmumora", "FLUXMUMORA's"), ("Fluxmumora", "fluxmumora co. ltd"), ("Bröntova", "brontova official store")]
     for a, b in same:
@@ -191,8 +260,8 @@ def test_spans_to_entries(spark):
     rows = [(1, ["acme", "mug"], ["b-brand ", "O"]), (2, ["acme", "and", "sons", "x"], ["B-BRAND", "I-BRAND", "I-BRAND", "O"]), (3, ["zenit"], ["B-BRAND", "O"]), (4, ["foo", None], ["B-BRAND", "I-BRAND"]), (5, None, ["B-BRAND"]), (6, ["acme"], ["B_BRAND"]), (7, ["ACME"], ["B-BRAND"]), (8, [None], ["B-BRAND"])]
     df = spark.createDataFrame(rows, "query_id long, query_tokens array<string>, ner_tags array<string>")
     found = brands.spans(df, "query_id", "query_tokens", "ner_tags", "BRAND")
-    for shard in (20_000, 1):
-        entries = brands.closest_entries(found, ref, shard=shard)
+    for shard, block in ((20_000, 1_000), (1, 1), (2, 2)):
+        entries = brands.closest_entries(found, ref, shard=shard, block=block)
         got = {r.text: r.entry for r in entries.collect()}
         assert got == {"acme": 2, "acme and sons": 1, "zenit": 3, "foo": -1, "ACME": 2, "": -1}
     mapped = brands.map_spans(brands.spelled_otherwise(found, ref), ref).collect()
@@ -214,7 +283,7 @@ def test_leaks_against_all_windows(spark):
         docs.append((i, "<b>" + " ".join(text[:20]).upper() + "</b>\n" + ", ".join(text[20:])))
     d = spark.createDataFrame([*docs, (100, None), (101, ""), (None, "x"), (102, "<p></p>" * 20_000)], "doc_id long, text string")
     it = spark.createDataFrame([*[(i, " ".join(x)) for i, x in enumerate(item)], (50, "too short"), (51, None)], "item_id long, text string")
-    found = {(r.doc_id, r.item_id): r for r in leaks.leaks(d, it, block=3).collect()}
+    found = {(r.doc_id, r.item_id): r for r in leaks.leaks(d, it).collect()}
     exact, near = set(), set()
     for (i, t), (j, x) in itertools.product(docs, enumerate(item)):
         w = leaks.passage_words(t)
@@ -224,8 +293,38 @@ def test_leaks_against_all_windows(spark):
                 exact.add((i, j))
             if min(brands.Pattern(x[p : p + 12]).distances(w, inside=True)) <= 2:
                 near.add((i, j))
-    assert {k for k, r in found.items() if r.run >= 12} == exact
-    assert set(found) == near and all(found[k].edits == 0 for k in exact)
+    assert {k for k, r in found.items() if r.edits == 0} == exact
+    assert set(found) == near
+    assert leaks.leaks(d.limit(0), it).count() == 0 and leaks.leaks(d, it.limit(0)).count() == 0
+
+
+def test_short_items_leak_too(spark):
+    items = [(1, "alpha"), (2, "beta gamma"), (3, "one two three four five six seven"), (4, "one two three four five six seven eight nine ten eleven"), (5, "!!"), (6, "käse über alles")]
+    docs = [
+        (1, "an ALPHA here"), (2, "beta, gamma"), (3, "gamma beta"), (4, "one two three four five SIX seven"), (5, "one two three x five six seven"),
+        (6, "one two x four five y seven"), (7, "one two three four five six seven eight nine ten"), (8, "Käse <b>über</b> alles"), (9, "x"),
+    ]
+    found = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): r.edits for r in found.collect()}
+    assert got == {(1, 1): 0, (2, 2): 0, (4, 3): 0, (5, 3): 1, (7, 3): 0, (7, 4): 1, (8, 6): 0}
+
+
+def test_vector_distances_equal_the_plain_ones():
+    rng = np.random.default_rng(9)
+    pattern, text = rng.integers(2, 6, (400, 12)), rng.integers(2, 6, (400, 16))
+    sizes, lengths = rng.integers(1, 13, 400), rng.integers(0, 17, 400)
+    got = leaks.distances(pattern, sizes, text, lengths)
+    for p, n, t, m, d in zip(pattern, sizes, text, lengths, got):
+        assert d == min([n, *brands.Pattern(p[:n].tolist()).distances(t[:m].tolist(), inside=True)])
+
+
+def test_word_hashes():
+    h = leaks.hasher()
+    starts, ends, hashes = h.words("straße 12 x straße")
+    assert starts.tolist() == [0, 7, 10, 12] and ends.tolist() == [6, 9, 11, 18]
+    assert hashes[0] == hashes[3] and len(set(hashes.tolist())) == 3
+    long = "ab " * 200_000
+    assert set(h.words(long)[2].tolist()) == {int(h.words("ab")[2][0])} and h.words("")[2].size == 0
 
 
 def test_pivot_keeps_its_sum():
@@ -233,15 +332,25 @@ def test_pivot_keeps_its_sum():
     hits = Counter()
     for seed in range(400):
         probs = [0.3, 0.9, 0.25, 0.55, 0.5, 0.5]
-        taken, open_ = mixture.pivot(list(range(6)), probs, seed, 0)
-        assert len(taken) + (open_[1] if open_ else 0) == pytest.approx(3.0)
+        pivot, taken = mixture.Pivot(seed, 0), []
+        for i, p in enumerate(probs):
+            taken += [row[0] for row in pivot.add(i, p, (i,))]
+        assert len(taken) + (pivot.open[1] if pivot.open else 0) == pytest.approx(3.0)
         hits.update(taken)
-        if open_ and rng.random() < open_[1]:
-            hits[open_[0]] += 1
+        if pivot.open and rng.random() < pivot.open[1]:
+            hits[pivot.open[0]] += 1
     for i, p in enumerate(probs):
         assert abs(hits[i] / 400 - p) < 0.1
 
 
+@pytest.mark.parametrize("task_rows", [100_000, 2])
+def test_rounding_over_many_tasks(spark, task_rows):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], 10 + i % 7, 0.25 + 0.5 * (i % 2)) for i in range(400)], "doc_id long, source string, tokens long, prob double").repartition(5)
+    got = mixture.dependent_rounding(rows, task_rows=task_rows).collect()
+    assert len({r.doc_id for r in got}) == len(got)
+    assert Counter(r.source for r in got) == {"a": 50, "b": 150}
+
+
 def test_mixture(spark):
     rows = [(i, f"word {'x ' * (i % 5)}", "Big" if i % 10 else " small-one ") for i in range(400)] + [(900, None, "big"), (901, "a b", None), (None, "q", "big")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -252,6 +361,8 @@ def test_mixture(spark):
     got = {r.source: r for r in report.collect()}
     assert got["gone"].tokens == 0 and got["gone"].short_by > 0
     assert abs(got["big"].tokens - got["big"].wanted_tokens) <= 8
+    assert got["big"].asked_tokens == got["big"].wanted_tokens * 2 and abs(got["big"].share - 0.5) < 0.02
+    assert sum(r.share_of_reached for r in got.values()) == pytest.approx(1.0)
     assert got["small_one"].short_by > 0
     again, _ = mixture.mix(docs, targets)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, selection.collect()))
