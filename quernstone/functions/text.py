@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,11 +37,17 @@ def normalize_unicode(text: Column) -> Column:
     return F.coalesce(F.when(ascii_, out), _nfkd(F.when(~ascii_, out)))
 
 
+def _whole(pattern: str) -> str:
+    return rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{pattern})(?![\p{{L}}\p{{N}}_])"
+
+
 def expand_abbreviations(text: Column) -> Column:
-    """Whole-word abbreviations in their long form, any case; a word is bounded by characters that are no word character."""
+    """Whole-word abbreviations in their long form, any case; a word is bounded by characters that are no word character.
+    One look for any of them decides whether a text is touched at all; the long forms hold no abbreviation as a word."""
+    out = text
     for short, long in ABBREVIATIONS.items():
-        text = F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{N}}_]){short}(?![\p{{L}}\p{{N}}_])", long)
-    return text
+        out = F.regexp_replace(out, _whole(short), long)
+    return F.when(text.rlike(_whole("|".join(sorted(ABBREVIATIONS, key=len, reverse=True)))), out).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
@@ -121,7 +127,7 @@ def markup_tags(tokens: Column, tags: Column) -> Column:
     def step(a: Column, x: Column) -> Column:
         w, t = x["w"], x["t"]
         return (
-            F.when(t.startswith("B-"), F.struct(closed(a).alias("out"), w.alias("open"), F.substring(t, 3, 1_000).alias("kind")))
+            F.when(t.startswith("B-"), F.struct(closed(a).alias("out"), w.alias("open"), F.substr(t, F.lit(3)).alias("kind")))
             .when(t.startswith("I-") & (a["open"] != ""), F.struct(a["out"].alias("out"), F.concat(a["open"], F.lit(" "), w).alias("open"), a["kind"].alias("kind")))
             .when(t.startswith("I-"), a)
             .otherwise(F.struct(F.concat(closed(a), F.lit(" "), w).alias("out"), F.lit("").alias("open"), F.lit("").alias("kind")))
@@ -129,8 +135,3 @@ def markup_tags(tokens: Column, tags: Column) -> Column:
 
     return F.trim(F.aggregate(pairs, start, step, closed))
 
-
-def first_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key in the order of ``order``."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.functions.fuzzy import THRESHOLD, best_window
 from quernstone.functions.text import squeeze
+from quernstone.operators.metrics import ratio
 from quernstone.schema import PRIORITY
+from quernstone.session import tables
+from quernstone.sources.files import write_conll
 
 # fixed values: material and attribute words, size patterns
 MATERIALS = (
@@ -101,15 +104,51 @@ def annotate(tokens: list[str], cands: list[tuple[str, str]], threshold: float =
     return tags
 
 
+_TYPE_OF = {str(p): t for t, p in PRIORITY.items()}
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def annotate_udf(tokens: pd.Series, cands: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else annotate(["" if x is None else x for x in t], [(c["entity_type"], c["phrase"]) for c in (() if k is None else k)]) for t, k in zip(tokens, cands)])
+    return pd.Series([None if t is None else annotate(["" if x is None else x for x in t], [(_TYPE_OF[c[0]], c[1:]) for c in (() if k is None else k)]) for t, k in zip(tokens, cands)])
+
+
+def possible(cands: Column, tokens: Column, threshold: float = THRESHOLD) -> Column:
+    """Candidates that may lie in the tokens, as text behind the digit of their type: those of no more words than there are,
+    and of whose letters the tokens lack no more than the threshold allows. A ratio of t in 100 to a window needs t / (200 - t)
+    of the phrase's letters in it."""
+    said = F.lower(F.array_join(tokens, " ", ""))
+    lacking = lambda p: F.length(F.call_function("translate", p, said, F.lit("")))
+    fits = lambda c: (F.size(F.split(c["phrase"], " ")) <= F.size(tokens)) & (lacking(c["phrase"]) <= F.length(c["phrase"]) * (1 - threshold / (200 - threshold)) + 1e-9)
+    digit = F.create_map(*[F.lit(x) for t, p in PRIORITY.items() for x in (t, str(p))])
+    return F.transform(F.filter(cands, fits), lambda c: F.concat(F.element_at(digit, c["entity_type"]), c["phrase"]))
 
 
 def annotate_table(df: DataFrame, tokens: str = "query_tokens", out: str = "ner_tags") -> DataFrame:
-    """``df`` plus tags: a narrow step, as candidates stay in their row."""
-    return candidates(df).withColumn(out, annotate_udf(tokens, "cands")).drop("cands")
+    """``df`` plus tags: a narrow step, as candidates stay in their row; only those that may be found leave the JVM."""
+    return candidates(df).withColumn("cands", possible(F.col("cands"), F.col(tokens))).withColumn(out, annotate_udf(tokens, "cands")).drop("cands")
 
 
 def has_entity(tags: Column) -> Column:
     return F.coalesce(F.exists(tags, lambda t: t != "O"), F.lit(False))
+
+
+def annotation_summary(df: DataFrame, tags: str = "ner_tags") -> DataFrame:
+    """One row: queries, those with an entity and their share in percent."""
+    c = df.agg(F.count("*").alias("queries"), F.count_if(has_entity(F.col(tags))).alias("with_entity"))
+    return c.withColumn("percent", F.lit(100.0) * ratio(F.col("with_entity"), F.col("queries")))
+
+
+def annotate_splits(spark: SparkSession, source: str, target: str, splits: list[str] | None = None, tokens: str = "query_tokens", order: str = "query_id") -> dict[str, DataFrame]:
+    """Every split of a folder annotated and written as Parquet and CoNLL under ``target``; all Parquet tables with tokens
+    by default, but for those named ``queries_*``. Rows without tokens get no tags. Returns the written tables by name."""
+    names = splits if splits is not None else sorted(x for x in tables(spark, source) if not x.startswith("queries_"))
+    out = {}
+    for name in names:
+        df = spark.read.parquet(f"{source}/{name}.parquet")
+        if tokens not in df.columns:
+            continue
+        path = f"{target}/{name}.parquet"
+        annotate_table(df.drop("ner_tags"), tokens).write.mode("overwrite").parquet(path)
+        out[name] = spark.read.parquet(path)
+        write_conll(out[name].where(F.col(tokens).isNotNull()), f"{target}/{name}.conll", order, tokens)
+    return out

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quernstone.functions.text import length_bin
 from quernstone.operators import spans as S
 from quernstone.operators.metrics import coarse_gain, prf, ratio, span_prf
-from quernstone.schema import tag_type
+from quernstone.schema import COARSE, coarse_tag, tag_type
 
 
 def token_rows(df: DataFrame, *keep: str) -> DataFrame:
@@ -113,18 +113,76 @@ def one_type(rows: DataFrame, name: str = "COLOR") -> DataFrame:
     return c.select("*", *prf(F.col("tp"), F.col("tp") + F.col("fp"), F.col("tp") + F.col("fn")))
 
 
+def one_type_lists(rows: DataFrame, name: str = "COLOR", n: int = 20) -> DataFrame:
+    """The n most frequent cases of each list around one type: tokens of it that were missed, those that became another
+    entity (with its tag), and others taken for it (with their true tag). Tokens in lower case; equals by token and tag."""
+    g, p = F.contains("gold", F.lit(name)), F.contains("pred", F.lit(name))
+    case = F.when(g & ~p, F.when(F.col("pred") == "O", "missed").otherwise("confusion")).when(~g & p, "hallucinated")
+    tag = F.when(case == "missed", "").when(case == "confusion", F.col("pred")).otherwise(F.col("gold"))
+    counts = rows.select(case.alias("list"), F.lower("token").alias("token"), tag.alias("tag")).where("list is not null").groupBy("list", "token", "tag").agg(F.count("*").alias("n"))
+    return top(counts, ["list"], n, "token", "tag")
+
+
 def sparsity(rows: DataFrame, below: int = 1000) -> DataFrame:
-    """Per type (and PRODUCT for all) full-tag token figures; ``rare`` where the type has fewer gold tokens than ``below``."""
+    """Per type with a gold B- tag, and PRODUCT for all of them: its number of B- tags and figures over whole tags, where a
+    token of the type with another tag is missed for one and false for the other; PRODUCT compares tags made coarse.
+    ``is_rare`` where a type has fewer B- tags than ``below``."""
+
+    def of(g: Column, p: Column, gold: Column, pred: Column) -> DataFrame:
+        t = rows.select(g.alias("g"), p.alias("p"), (gold == pred).cast("int").alias("same"), gold.startswith("B-").cast("int").alias("b"))
+        kind = lambda ty, b, tp, pr, go: F.struct(ty.alias("entity_type"), b.alias("count"), tp.alias("tp"), F.lit(pr).alias("predicted"), F.lit(go).alias("gold"))
+        parts = F.array(kind(F.col("g"), F.col("b"), F.col("same"), 0, 1), kind(F.col("p"), F.lit(0), F.lit(0), 1, 0))
+        return t.select(F.explode(parts).alias("x")).select("x.*").where("entity_type <> ''").groupBy("entity_type").agg(*[F.sum(c).alias(c) for c in ("count", "tp", "predicted", "gold")])
+
+    gold, pred = F.col("gold"), F.col("pred")
+    coarse = lambda c: F.when(tag_type(c) == "", "").otherwise(COARSE)
+    both = of(tag_type(gold), tag_type(pred), gold, pred).where("count > 0").unionByName(of(coarse(gold), coarse(pred), coarse_tag(gold), coarse_tag(pred)))
+    return both.select("entity_type", "count", "tp", "predicted", "gold", *prf(F.col("tp"), F.col("predicted"), F.col("gold")), ((F.col("entity_type") != COARSE) & (F.col("count") < below)).alias("is_rare"))
+
+
+def sparsity_summary(table: DataFrame) -> DataFrame:
+    """One row from :func:`sparsity`: mean F1 of the rare and of the common types, the coarse F1 and both lists of types."""
+    fine, rare = F.col("entity_type") != COARSE, F.col("is_rare")
+    mean = lambda c: F.coalesce(F.avg(F.when(c, F.col("f1"))), F.lit(0.0))
+    types = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("entity_type"))))
+    return table.agg(mean(fine & rare).alias("avg_rare_f1"), mean(fine & ~rare).alias("avg_common_f1"), mean(~fine).alias("coarse_f1"), types(fine & rare).alias("rare_types"), types(fine & ~rare).alias("common_types"))
+
+
+BUCKETS = {"fp": "false_positive", "fn": "false_negative", "confusion": "wrong_type"}
+
+
+def error_buckets(rows: DataFrame) -> DataFrame:
+    """(error_type, n, rate): tokens of each of the three kinds of error and of all, with their share of all tokens in percent."""
+    named = F.coalesce(*[F.when(error_kind() == k, v) for k, v in BUCKETS.items()])
+    counts = rows.agg(F.count("*").alias("tokens"), *[F.count_if(named == v).alias(v) for v in BUCKETS.values()])
+    every = counts.withColumn("total", sum((F.col(v) for v in BUCKETS.values()), F.lit(0)))
+    long = every.unpivot(["tokens"], [*BUCKETS.values(), "total"], "error_type", "n")
+    return long.select("error_type", "n", (F.lit(100.0) * ratio(F.col("n"), F.col("tokens"))).alias("rate"))
+
+
+def first_mismatches(df: DataFrame, n: int = 10) -> DataFrame:
+    """The first n queries, by id, whose predicted tags are not the gold ones; a shorter prediction differs."""
+    return df.where(F.col("gold_tags") != F.col("pred_tags")).orderBy("query_id").limit(n)
+
+
+def error_report(df: DataFrame) -> dict[str, DataFrame]:
+    """All analyses of a set of predictions by their names; each is a plan of its own and runs when it is read."""
+    rows = token_rows(df)
+    return {
+        "confusion_matrix": confusion(rows, "true"), "common_errors": common_errors(rows), "by_query_length": by_length(df), "by_entity_rarity": rarity(df), "fp_fn_by_entity": fp_fn(rows),
+        "multi_attribute_analysis": multi_attribute(df), "color_ambiguity": one_type(rows), "color_lists": one_type_lists(rows),
+    }
 
-    def of(g: Column, p: Column) -> DataFrame:
-        t = rows.select(g.alias("g"), p.alias("p"), (F.col("gold") == F.col("pred")).alias("same"))
-        kind = lambda ty, tp, pr, go: F.struct(ty.alias("entity_type"), F.lit(tp).alias("tp"), F.lit(pr).alias("predicted"), F.lit(go).alias("gold"))
-        parts = F.concat(F.when(F.col("same"), F.array(kind(F.col("g"), 1, 0, 0))).otherwise(F.array().cast("array<struct<entity_type:string,tp:int,predicted:int,gold:int>>")), F.array(kind(F.col("g"), 0, 0, 1), kind(F.col("p"), 0, 1, 0)))
-        return t.select(F.explode(parts).alias("x")).select("x.*").where("entity_type <> ''").groupBy("entity_type").agg(*[F.sum(c).alias(c) for c in ("tp", "predicted", "gold")])
 
-    coarse = lambda c: F.when(F.col(c) == "O", "").otherwise("PRODUCT")
-    both = of(tag_type(F.col("gold")), tag_type(F.col("pred"))).unionByName(of(coarse("gold"), coarse("pred")))
-    return both.select("entity_type", "tp", "predicted", "gold", *prf(F.col("tp"), F.col("predicted"), F.col("gold")), (F.col("gold") < below).alias("is_rare"))
+def tall(tables: dict[str, DataFrame]) -> DataFrame:
+    """(section, name, metric, value): several result tables in one, the text columns of a row joined into its name."""
+    out = None
+    for section, t in tables.items():
+        text, figures = [c for c, k in t.dtypes if k == "string"], [c for c, k in t.dtypes if k in ("int", "bigint", "double")]
+        named = t.select(F.lit(section).alias("section"), F.concat_ws("|", *text).alias("name"), *[F.col(c).cast("double").alias(c) for c in figures])
+        part = named.unpivot(["section", "name"], figures, "metric", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def error_flags(df: DataFrame) -> DataFrame:
@@ -142,11 +200,13 @@ def qualitative(df: DataFrame, n: int = 30, seed: int = 42) -> DataFrame:
     flagged = error_flags(df).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}|"), F.col("query_id").cast("string"))))
     n_right = n // 5
     third = (n - n_right) // 3
-    kinds = [flagged.where(c).orderBy("_h", "query_id").limit(third).withColumn("_o", F.lit(i)) for i, c in enumerate(("has_fp", "has_fn", "has_confusion"))]
-    fill = [flagged.where("not is_correct").orderBy("_h", "query_id").limit(n - n_right).withColumn("_o", F.lit(3)), flagged.where("is_correct").orderBy("_h", "query_id").limit(n).withColumn("_o", F.lit(4))]
-    every = kinds[0]
-    for part in (*kinds[1:], *fill):
-        every = every.unionByName(part)
-    one = every.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy("_o"))).where("_k = 1")  # 3 n rows at most
-    wrong = one.where("_o < 4").orderBy("_o", "_h").limit(n - n_right)
-    return wrong.unionByName(one.where("_o = 4").orderBy("_h").limit(n_right)).drop("_h", "_o", "_k")
+    picked = None
+    for i, c in enumerate(("has_fp", "has_fn", "has_confusion")):
+        part = flagged.where(c).orderBy("_h", "query_id").limit(third).withColumn("_o", F.lit(i))
+        picked = part if picked is None else picked.unionByName(part)
+    first = Window.partitionBy("query_id").orderBy("_o")
+    picked = picked.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")  # n rows at most
+    rest = flagged.where("not is_correct").join(picked.select("query_id"), "query_id", "left_anti").orderBy("_h", "query_id").limit(n - n_right).withColumn("_o", F.lit(3))
+    wrong = picked.unionByName(rest.select(picked.columns)).orderBy("_o", "_h", "query_id").limit(n - n_right)
+    right = flagged.where("is_correct").orderBy("_h", "query_id").limit(n_right).withColumn("_o", F.lit(4))
+    return wrong.unionByName(right.select(picked.columns)).drop("_h", "_o")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quernstone.operators import spans as S
 from quernstone.operators.metrics import prf, ratio
+from quernstone.schema import tag_type
+from quernstone.session import materialize
 
 
 def attributes(tags: str, tokens: str = "tokens") -> Column:
@@ -75,23 +77,48 @@ def agreement(rows: DataFrame, a: str, b: str) -> DataFrame:
     return one.select("tokens", "agreed", "entity_a", "entity_b", po.alias("accuracy"), F.try_divide(po - pe, 1 - pe).alias("kappa"))
 
 
+# fixed values: what a kappa from so much on is called
+KAPPA = ((0.8, "Almost perfect agreement"), (0.6, "Substantial agreement"), (0.4, "Moderate agreement"))
+
+
 def kappa_bucket(kappa: Column) -> Column:
-    return F.when(kappa >= 0.8, "excellent").when(kappa >= 0.6, "substantial").when(kappa >= 0.4, "moderate").otherwise("poor")
+    return F.coalesce(*[F.when(kappa >= least, name) for least, name in KAPPA], F.lit("Fair/Slight agreement"))
 
 
 def qa_report(df: DataFrame, tags: str) -> DataFrame:
     """One row: queries, tokens, entity tokens, their ratio, queries with an entity, and B- tags by type as a map."""
     c = F.coalesce(F.col(tags), F.array().cast("array<string>"))
     entity = F.size(F.filter(c, lambda t: t != "O"))
-    return df.agg(F.count("*").alias("queries"), F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("long").alias("tokens"), F.coalesce(F.sum(entity), F.lit(0)).cast("long").alias("entity_tokens"), F.count_if(entity > 0).alias("queries_with_entity")).withColumn("entity_ratio", ratio(F.col("entity_tokens"), F.col("tokens")))
+    one = df.agg(F.count("*").alias("queries"), F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("long").alias("tokens"), F.coalesce(F.sum(entity), F.lit(0)).cast("long").alias("entity_tokens"), F.count_if(entity > 0).alias("queries_with_entity")).withColumn("entity_ratio", ratio(F.col("entity_tokens"), F.col("tokens")))
+    types = df.select(F.explode(c).alias("t")).where(F.col("t").startswith("B-")).groupBy(tag_type(F.col("t")).alias("k")).agg(F.count("*").alias("v"))
+    return one.crossJoin(types.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("entity_counts")))  # one row each
 
 
 def accuracy_by_type(rows: DataFrame, silver: str, corrected: str) -> DataFrame:
     """Full-tag accuracy per type of the silver tag, O as its own type."""
-    kind = F.when(F.col(silver) == "O", "O").otherwise(F.substring(F.col(silver), 3, 1_000))
+    kind = F.when(F.col(silver) == "O", "O").otherwise(F.substr(F.col(silver), F.lit(3)))
     return rows.groupBy(kind.alias("entity_type")).agg(F.count("*").alias("tokens"), F.avg((F.col(silver) == F.col(corrected)).cast("double")).alias("accuracy"))
 
 
+def correction_rate(rows: DataFrame, silver: str, corrected: str) -> DataFrame:
+    """One row: tokens, corrections made and their rate in percent, kappa and what it is called."""
+    c = agreement(rows, silver, corrected)
+    made = F.col("tokens") - F.col("agreed")
+    return c.select("tokens", made.alias("corrections"), (F.lit(100.0) * ratio(made, F.col("tokens"))).alias("rate"), "kappa", kappa_bucket(F.col("kappa")).alias("interpretation"))
+
+
+def correction_patterns(rows: DataFrame, silver: str, corrected: str, n: int = 20) -> DataFrame:
+    """(silver_tag, corrected_tag, n): the n most frequent changes of a tag; equals by both tags."""
+    changed = rows.where(F.col(silver) != F.col(corrected)).groupBy(F.col(silver).alias("silver_tag"), F.col(corrected).alias("corrected_tag")).agg(F.count("*").alias("n"))
+    return changed.orderBy(F.desc("n"), "silver_tag", "corrected_tag").limit(n)
+
+
+def types_of(rows: DataFrame, silver: str, corrected: str) -> DataFrame:
+    """Token rows with types in place of tags, O as its own, for the confusion of types."""
+    kind = lambda c: F.when(tag_type(F.col(c)) == "", F.col(c)).otherwise(tag_type(F.col(c)))
+    return rows.select(kind(silver).alias("gold"), kind(corrected).alias("pred"))
+
+
 def corrections(review: DataFrame) -> DataFrame:
     """(query_idx, corrected tags) from review rows (query_idx, pos, token, silver_tag, corrected_tag); an empty correction
     keeps the silver tag, rows without a token are separators."""
@@ -114,9 +141,64 @@ def tag_distribution(df: DataFrame, tags: str) -> DataFrame:
     return counts.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))  # a row a tag
 
 
+def imbalance(df: DataFrame, tags: str) -> DataFrame:
+    """One row: tokens tagged O, tokens of entities, and the first over the second."""
+    c = df.select(F.explode(tags).alias("t")).where("t is not null").agg(F.count_if(F.col("t") == "O").alias("outside"), F.count_if(F.col("t") != "O").alias("entity"))
+    return c.withColumn("imbalance", ratio(F.col("outside"), F.col("entity")))
+
+
+def entities_per_query(df: DataFrame, tags: str) -> DataFrame:
+    """One row: mean, median and most B- tags and types of a query, and the queries without any."""
+    b = F.filter(F.coalesce(F.col(tags), F.array().cast("array<string>")), lambda t: t.startswith("B-"))
+    each = df.select(F.size(b).alias("n"), distinct_types(F.col(tags)).alias("types"))
+    return each.agg(F.avg("n").alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.max("n").alias("max"), F.count_if(F.col("n") == 0).alias("without"), F.max("types").alias("most_types"))
+
+
+def distinct_types(tags: Column) -> Column:
+    """Number of types with a B- tag in a query; null tags have none."""
+    b = F.filter(F.coalesce(tags, F.array().cast("array<string>")), lambda t: t.startswith("B-"))
+    return F.size(F.array_distinct(F.transform(b, tag_type)))
+
+
+def data_quality(df: DataFrame, text: str, tokens: str, tags: str) -> DataFrame:
+    """One row: rows, repeated texts and rows whose tokens and tags are not of one length; a null array has length 0."""
+    n = lambda c: F.greatest(F.size(c), F.lit(0))
+    return df.agg(F.count("*").alias("rows"), (F.count(text) - F.countDistinct(text)).alias("duplicates"), F.count_if(~n(tokens).eqNullSafe(n(tags))).alias("misaligned"))
+
+
+def dataset_summary(splits: dict[str, DataFrame], tokens: str, tags: str) -> DataFrame:
+    """One row about all splits: samples in all and of each, mean tokens and B- tags of a query, and B- tags by type."""
+    rows = None
+    for name, df in splits.items():
+        part = df.select(F.lit(name).alias("split"), F.col(tokens).alias("w"), F.filter(F.coalesce(F.col(tags), F.array().cast("array<string>")), lambda t: t.startswith("B-")).alias("b"))
+        rows = part if rows is None else rows.unionByName(part)
+    one = rows.agg(F.count("*").alias("total_samples"), *[F.count_if(F.col("split") == s).alias(f"{s}_samples") for s in splits], F.avg(F.greatest(F.size("w"), F.lit(0))).alias("avg_tokens_per_query"), F.avg(F.size("b")).alias("avg_entities_per_query"))
+    types = rows.select(F.explode("b").alias("t")).groupBy(tag_type(F.col("t")).alias("k")).agg(F.count("*").alias("v"))
+    return one.crossJoin(types.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("entity_span_counts")))  # one row each
+
+
+SPECIAL = ("<PAD>", "<UNK>")
+
+
 def vocabulary(df: DataFrame, tokens: str, order: list[str]) -> DataFrame:
     """(token, id): lower-case tokens in first-seen order after <PAD> 0 and <UNK> 1."""
-    rows = df.select(*order, F.posexplode(tokens).alias("pos", "raw")).where("raw is not null")
-    first = rows.groupBy(F.lower("raw").alias("token")).agg(F.min(F.struct(*order, "pos")).alias("at"))
-    ids = first.orderBy("at").select("token", "at").rdd.zipWithIndex().map(lambda x: (x[0]["token"], x[1] + 2))
-    return df.sparkSession.createDataFrame(ids, "token string, id long").union(df.sparkSession.createDataFrame([("<PAD>", 0), ("<UNK>", 1)], "token string, id long"))
+    return _numbered(df.select(*order, F.posexplode(tokens).alias("pos", "raw")).where("raw is not null").select(F.lower("raw").alias("token"), F.struct(*order, "pos").alias("at")))
+
+
+def characters(df: DataFrame, tokens: str, order: list[str]) -> DataFrame:
+    """(token, id): the characters of the tokens, case kept, in first-seen order after <PAD> 0 and <UNK> 1."""
+    words = df.select(*order, F.posexplode(tokens).alias("pos", "raw")).where("raw <> ''")
+    each = words.select(*order, "pos", F.posexplode(F.split("raw", "")).alias("place", "token")).where("token <> ''")
+    return _numbered(each.select("token", F.struct(*order, "pos", "place").alias("at")))
+
+
+def _numbered(seen: DataFrame) -> DataFrame:
+    """Numbers from 2 on by the first place: distinct tokens are laid out in ranges of places and counted there; a range's
+    numbers start where the counts of the ranges before it end."""
+    spark = seen.sparkSession
+    first, _ = materialize(seen.groupBy("token").agg(F.min("at").alias("at")).repartitionByRange("at", "token").withColumn("part", F.spark_partition_id()), "vocabulary")
+    sizes = first.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("part").orderBy("at", "token"))
+    ids = first.withColumn("own", own).join(F.broadcast(before), "part").select("token", (F.col("before") + F.col("own") + len(SPECIAL) - 1).alias("id"))
+    return ids.unionByName(spark.createDataFrame([(x, i) for i, x in enumerate(SPECIAL)], "token string, id long"))

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+PARTS = 64  # parts that the labels of one query are packed in
+
+
 def resolve(folder: str, name: str, nested: str = "shopping_queries_dataset") -> str:
     """The first of ``folder/name`` and ``folder/nested/name`` that exists; the error names both."""
     tried = [Path(folder) / name, Path(folder) / nested / name]
@@ -35,25 +38,30 @@ def unmatched(joined: DataFrame, column: str = "product_title") -> DataFrame:
     return joined.agg(F.count("*").alias("rows"), F.count_if(F.col(column).isNull()).alias("unmatched"))
 
 
-def distinct_in_order(df: DataFrame, key: str, value: str, order: list[Column]) -> DataFrame:
-    """(key, value array): distinct non-null values in first-seen order. Values are made distinct with map-side combining
-    before the list is built, so a key of many rows sends few."""
-    first = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.min(F.struct(*order)).alias("o"))
-    lists = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", value))).alias("l"))
-    return lists.select(key, F.transform("l", lambda x: x[value]).alias(value))
-
-
 def roll_up(joined: DataFrame, columns: list[str], order: list[Column], label: str = "esci_label") -> DataFrame:
     """One row per non-null query: per metadata column the distinct values in first-seen order, and all labels, repeats and
-    nulls included, in row order. Absent columns are skipped; none present leaves the distinct queries."""
+    nulls included, in row order. Absent columns are skipped; none present leaves the distinct queries.
+
+    One pass: each row's values become (query, column, value) and are made distinct with map-side combining before any list
+    is built, so a query of many rows sends few. Its labels are packed in parts by a hash of their order, and only the parts
+    meet in one list, which is the result.
+    """
     present = [c for c in columns if c in joined.columns]
-    out = joined.where(F.col("query").isNotNull()).select("query").distinct()
-    for c in present:
-        out = out.join(distinct_in_order(joined, "query", c, order), "query", "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
-    if label in joined.columns and present:
-        packed = F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(label).alias("v"))))
-        labels = joined.where(F.col("query").isNotNull()).groupBy("query").agg(packed.alias("l")).select("query", F.transform("l", lambda x: x["v"]).alias(label))
-        out = out.join(labels, "query", "left")
+    if not present:
+        return joined.where(F.col("query").isNotNull()).select("query").distinct()
+    at = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    known = joined.where(F.col("query").isNotNull())
+    values = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(present)])
+    each = known.select("query", at.alias("o"), F.explode(F.filter(values, lambda x: (x["c"] == 0) | x["v"].isNotNull())).alias("x")).select("query", "o", "x.*")
+    first = each.groupBy("query", "c", "v").agg(F.min("o").alias("o"))
+    lists = first.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("c", "o", "v"))).alias("l"))
+    pick = lambda i: F.transform(F.filter("l", lambda x: (x["c"] == i) & x["v"].isNotNull()), lambda x: x["v"])
+    out = lists.select("query", *[pick(i).alias(c) for i, c in enumerate(present)])
+    if label in joined.columns:
+        part = F.pmod(F.xxhash64(at), F.lit(PARTS))
+        packed = known.select("query", part.alias("p"), F.struct(at.alias("o"), F.col(label).alias("v")).alias("x")).groupBy("query", "p").agg(F.collect_list("x").alias("x"))
+        labels = packed.groupBy("query").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("l"))
+        out = out.join(labels.select("query", F.transform("l", lambda x: x["v"]).alias(label)), "query")
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernstone.operators import spans as S
 from quernstone.schema import coarse_tag
+from quernstone.sources.files import markdown, training_time
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -99,6 +100,17 @@ def describe(rows: DataFrame, column: str, by: list[str] | None = None) -> DataF
     return agg.select(*(by or []), "count", "mean", "std", "min", F.get("q", F.lit(0)).alias("p25"), F.get("q", F.lit(1)).alias("p50"), F.get("q", F.lit(2)).alias("p75"), "max")
 
 
+def spread(rows: DataFrame, column: str) -> DataFrame:
+    """mean, interpolated median, greatest value and number of zeros."""
+    c = F.col(column)
+    return rows.agg(F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.max(c).alias("max"), F.count_if(c == 0).alias("zeros"))
+
+
+def unique_count(rows: DataFrame, column: str) -> DataFrame:
+    """Exact number of distinct non-null values."""
+    return rows.agg(F.countDistinct(column).alias("unique"))
+
+
 def upper_median(rows: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """The element at half the length of the sorted values, not interpolated."""
     return rows.groupBy(*(by or [])).agg(F.count(column).alias("n"), F.array_sort(F.collect_list(column)).alias("v")).select(*(by or []), F.get("v", F.floor(F.col("n") / 2).cast("int")).alias("upper_median"))
@@ -114,3 +126,107 @@ def latency(rows: DataFrame, by: list[str], value: str, run: str, warmup: int =
     v = F.col(value)
     agg = rows.where(F.col(run) >= warmup).groupBy(*by).agg(F.avg(v).alias("mean_ms"), F.stddev_pop(v).alias("std_ms"), F.min(v).alias("min_ms"), F.max(v).alias("max_ms"), F.count(v).alias("runs"))
     return agg.withColumn("throughput", ratio(F.lit(1000.0), F.col("mean_ms")))
+
+
+def best_model(rows: DataFrame, value: str = "f1", model: str = "model") -> DataFrame:
+    """The model of the greatest value, the first by name among equals, and that value."""
+    best = F.max(F.struct(F.coalesce(F.col(value), F.lit(0.0)).alias("v")))["v"]
+    return rows.withColumn("_best", best.over(Window.partitionBy(F.lit(1)))).where(F.coalesce(F.col(value), F.lit(0.0)) == F.col("_best")).agg(F.min(model).alias(model), F.max("_best").alias(value))  # a row a model
+
+
+def lookup(rows: DataFrame, others: DataFrame, key: str, columns: dict[str, str], suffix: str = "", default: str = "-") -> DataFrame:
+    """``rows`` with columns of another metric table as text, by its key less ``suffix``; ``columns`` maps them to their number
+    formats. A key that is not there has ``default``; of rows that share a key the last in order of their own keys counts."""
+    plain = F.regexp_replace(F.col(key), f"{suffix}$", "") if suffix else F.col(key)
+    held = others.select(plain.alias(key), F.struct(F.col(key), *columns).alias("_r")).groupBy(key).agg(F.max_by("_r", F.col(f"_r.{key}")).alias("_r"))
+    text = [F.coalesce(F.format_string(form, F.col(f"_r.{c}").cast("double")), F.lit(default)).alias(c) for c, form in columns.items()]
+    joined = rows.join(held, key, "left")
+    return joined.select(*rows.columns, *[F.when(F.col("_r").isNull(), F.lit(default)).otherwise(t).alias(c) for t, c in zip(text, columns)])
+
+
+def medal(rank: Column) -> Column:
+    """The first three ranks as medals, others as their number."""
+    return F.coalesce(*[F.when(rank == i, m) for i, m in ((1, "🥇"), (2, "🥈"), (3, "🥉"))], rank.cast("string"))
+
+
+def arranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """The columns of ``order`` that are there, then the others as they stand."""
+    return df.select(*[c for c in order if c in df.columns], *[c for c in df.columns if c not in order])
+
+
+def formatted(df: DataFrame, forms: dict[str, str]) -> DataFrame:
+    """Number columns as text in the given formats; absent columns are skipped, text passes through, null stays."""
+    kinds = dict(df.dtypes)
+    numbers = {c: f for c, f in forms.items() if kinds.get(c) in ("double", "float", "bigint", "int")}
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string(f, F.col(c).cast("double"))) for c, f in numbers.items()}) if numbers else df
+
+
+FOUR = "%.4f"
+
+
+def comparison_table(overall: DataFrame, queries: DataFrame) -> DataFrame:
+    """Models by falling F1 with their span figures and those of whole queries, as text: four decimals, coverage in percent.
+    ``overall`` is (model, precision, recall, f1), ``queries`` (model, exact_match, coverage, slot_f1)."""
+    table = ranked(overall.join(queries, "model", "left"), [F.desc("f1"), F.col("model")])
+    forms = dict.fromkeys(("precision", "recall", "f1", "exact_match", "slot_f1"), FOUR) | {"coverage": "%.1f%%"}
+    return arranged(formatted(table, forms), ["rank", "model", "precision", "recall", "f1", "exact_match", "coverage", "slot_f1"])
+
+
+def entity_summary(per_type: DataFrame, models: list[str]) -> DataFrame:
+    """(entity_type, a column a model): F1 with two decimals, 0.00 where a model has none. ``per_type`` is (model,
+    entity_type, f1); rows of averages are no types."""
+    types = per_type.where(~F.col("entity_type").isin("ALL", "micro avg", "macro avg", "weighted avg"))
+    wide = pivot(types, ["entity_type"], "model", models, "f1").na.fill(0.0)
+    return formatted(wide, dict.fromkeys(models, "%.2f"))
+
+
+def final_table(overall: DataFrame, retrieval: DataFrame, efficiency: DataFrame) -> DataFrame:
+    """Models ranked by F1 with span figures, retrieval figures (of ``<model>_rerank``) and size and latency; a dash where a
+    model is in no such table. All figures are text."""
+    table = lookup(ranked(overall, [F.desc("f1"), F.col("model")]), retrieval, "model", {"ndcg": FOUR, "mrr": FOUR}, "_rerank")
+    table = lookup(table, efficiency, "model", {"params_m": "%.2f", "latency_ms": "%.2f"})
+    return arranged(formatted(table, dict.fromkeys(("precision", "recall", "f1"), FOUR)), ["rank", "model", "precision", "recall", "f1", "ndcg", "mrr", "params_m", "latency_ms"])
+
+
+def trained_on(gold: DataFrame, silver: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(model, gold_precision, gold_f1, silver_precision, silver_f1): the same models trained on either set, ``names`` mapping
+    a silver model to its gold one; a model without figures has 0.0000."""
+    spark = gold.sparkSession
+    known = spark.createDataFrame(list(names.items()), "model string, gold_model string")
+    pick = lambda df, key, name: df.select(F.col("model").alias(key), F.col("precision").alias(f"{name}_precision"), F.col("f1").alias(f"{name}_f1"))
+    both = known.join(pick(gold, "gold_model", "gold"), "gold_model", "left").join(pick(silver, "model", "silver"), "model", "left")
+    figures = ["gold_precision", "gold_f1", "silver_precision", "silver_f1"]
+    return formatted(both.na.fill(0.0, figures), dict.fromkeys(figures, FOUR)).select("model", *figures)
+
+
+# fixed values: sizes of training sets by their labels
+SIZES = {"1k": 1000, "2.5k": 2500, "5k": 5000, "full": 52500}
+
+
+def learning_curve(rows: DataFrame, metric: str = "f1") -> DataFrame:
+    """(model, a column a size): a metric by the size of the training set; sizes that are not known are left out."""
+    return pivot(rows.where(F.col("size").isin(*SIZES)), ["model"], "size", list(SIZES), metric)
+
+
+UNKNOWN = -1.0
+
+
+def efficiency(latencies: DataFrame, models: DataFrame, warmup: int = 10) -> DataFrame:
+    """A row a model of ``models`` (model, total_params, trainable_params, log): parameters also in millions, latency figures
+    of its runs (model, latency_ms, run), the training time that its log states; -1 for what is not known."""
+    runs = latency(latencies, ["model"], "latency_ms", "run", warmup).select("model", F.col("mean_ms").alias("avg_latency_ms"), F.col("std_ms").alias("std_latency_ms"), F.col("throughput").alias("throughput_queries_per_sec"))
+    of = models.join(runs, "model", "left").withColumn("training_time_seconds", training_time(F.col("log"))).drop("log")
+    millions = {f"{c}_millions": F.col(c) / 1e6 for c in ("total_params", "trainable_params")}
+    full = of.withColumns(millions).withColumn("training_time_minutes", F.col("training_time_seconds") / 60)
+    full = full.na.fill(UNKNOWN, [c for c, k in full.dtypes if k == "double"]).na.fill(int(UNKNOWN), ["total_params", "trainable_params"])
+    order = ["model", "total_params", "total_params_millions", "trainable_params", "trainable_params_millions", "training_time_seconds", "training_time_minutes", "avg_latency_ms", "std_latency_ms", "throughput_queries_per_sec"]
+    return arranged(full, order)
+
+
+def summary_report(overall: DataFrame, per_type: DataFrame, models: list[str], title: str = "Results") -> str:
+    """A Markdown report: the best model, all models with their medals, and F1 by entity type."""
+    best = best_model(overall).first()
+    rows = ranked(overall, [F.desc("f1"), F.col("model")]).withColumn("place", medal(F.col("rank"))).orderBy("rank")
+    main = markdown(formatted(rows, dict.fromkeys(("precision", "recall", "f1"), FOUR)), ["model", "precision", "recall", "f1", "place"])
+    types = markdown(entity_summary(per_type, models).orderBy("entity_type"), ["entity_type", *models])
+    return f"# {title}\n\nBest by F1: **{best.model}** with **{best.f1:.4f}**.\n\n## Models\n\n{main}\n## F1 by entity type\n\n{types}"

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.functions.fuzzy import best_window
+from quernstone.operators.metrics import span_prf
+from quernstone.operators.spans import STRICT
 from quernstone.schema import coarse_tag
 
 Predictor = Callable[[list[list[str]]], list[list[str]]]
@@ -58,6 +60,11 @@ def apply(df: DataFrame, predictor: Predictor, tokens: str, out: str) -> DataFra
     return df.withColumn(out, run(tokens))
 
 
+def evaluate(df: DataFrame, predictor: Predictor, tokens: str = "tokens", gold: str = "gold_tags", decoder: str = STRICT) -> DataFrame:
+    """Predict and score in one: span figures per type and in all; predictions are cut to their tokens."""
+    return span_prf(apply(df.select(tokens, gold), predictor, tokens, "_pred"), [], decoder, gold=gold, pred="_pred")
+
+
 def align_pieces(word_ids: Column, tags: Column, all_pieces: bool = False, ignore: str = "-100") -> Column:
     """Word labels on sub-word pieces: ``word_ids`` holds each piece's word or null. The first piece of a word has its label,
     others ``ignore`` or, with ``all_pieces``, the label too."""

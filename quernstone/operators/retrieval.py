@@ -2,44 +2,102 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product as combos
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import bm25_tokens
 from quernstone.operators.metrics import ratio
+from quernstone.session import materialize
 
+# fixed values: the parameters of the score, the weights of matched types and those that the grid search tries
 K1, B = 1.5, 0.75
 WEIGHTS = {"BRAND": 2.0, "PRODUCT_TYPE": 1.5, "COLOR": 1.2, "MATERIAL": 1.2}
 GRID = {"BRAND": (1.5, 2.0, 2.5, 3.0), "PRODUCT_TYPE": (1.2, 1.5, 2.0), "COLOR": (1.0, 1.2, 1.5)}
 
 
 def index(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings: term, doc_id, tf, dl), (terms: term, df), (corpus: one row n, avgdl)."""
-    t = docs.select("doc_id", bm25_tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
-    postings = t.select("doc_id", "dl", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+    """(documents: doc_id, w, dl), (terms: term, df), (corpus: one row n, avgdl), written once and read by whoever scores."""
+    t, _ = materialize(docs.select("doc_id", bm25_tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w")), "index")
+    terms = t.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     corpus = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return postings, terms, corpus
+    return t, terms, corpus
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.when(df > 0, F.ln((n - df + 0.5) / (df + 0.5) + 1)).otherwise(0.0)
 
 
-def bm25(queries: DataFrame, idx: tuple[DataFrame, DataFrame, DataFrame], k: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, doc_id, score, rank) of the documents with a query term; repeated query terms count again.
-
-    Only postings of query terms are scored; a document's score is summed before the ranking, and ranks are cut to k.
+BLOCK, DOCS = 4_096, 1_024  # queries that a task scores at a time, documents that it scores together
+
+
+def _scored(held, k: int, k1: float, b: float):
+    """Best k documents of each query of a block over the documents of a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, by_term, avgdl = held.value
+        best: list[tuple[np.ndarray, list]] = [(np.empty(0), []) for _ in ids]
+        for pdf in batches:
+            for i in range(0, len(pdf), DOCS):
+                part = pdf.iloc[i : i + DOCS]
+                docs, scores = part["doc_id"].to_list(), np.zeros((len(ids), len(part)))
+                dl = part["dl"].to_numpy(dtype=float)
+                places: dict[str, list[int]] = {}
+                for at, words in enumerate(part["w"]):
+                    for w in words:
+                        if w in by_term:
+                            places.setdefault(w, []).append(at)
+                for w, held_by in places.items():
+                    at, tf = np.unique(held_by, return_counts=True)
+                    queries, weights = by_term[w]
+                    scores[np.ix_(queries, at)] += np.outer(weights, tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[at] / avgdl)))
+                scores = np.round(scores, 9)
+                some = np.flatnonzero((scores > 0).any(axis=1))
+                for q in some:
+                    own, names = scores[q], best[q][1]
+                    least = best[q][0][-1] if len(names) >= k else 0.0
+                    at = np.flatnonzero(own >= least) if least else np.flatnonzero(own > 0)
+                    if len(at) > k:  # those that equal the k-th stay in until ties are settled
+                        at = at[own[at] >= np.partition(own[at], -k)[-k]]
+                    joined = sorted([*zip(-best[q][0], names), *((-own[j], docs[j]) for j in at.tolist())])[:k]
+                    best[q] = np.array([-s for s, _ in joined]), [d for _, d in joined]
+        for q, (own, names) in zip(ids, best):
+            if names:
+                yield pd.DataFrame({"query_id": q, "doc_id": names, "score": own})
+
+    return run
+
+
+def bm25(queries: DataFrame, idx: tuple[DataFrame, DataFrame, DataFrame], k: int, k1: float = K1, b: float = B, block: int = BLOCK) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best k documents of each query among those with a query term; repeated query terms
+    count again.
+
+    Documents stay where they are, and a document's terms in its row. Query terms are weighed first and go to the tasks in
+    blocks of at most ``block`` queries; a task sums its documents' scores and hands on its best k of each query. So a term
+    that most documents hold shuffles nothing, and what is ranked in the end is bounded by tasks times queries times k. Each
+    block reads the index again.
     """
-    postings, terms, corpus = idx
+    docs, terms, corpus = idx
+    spark = queries.sparkSession
+    n, avgdl = corpus.first()
     q = queries.select("query_id", F.explode(bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weighted = q.join(terms, "term").crossJoin(F.broadcast(corpus)).select("query_id", "term", "avgdl", (idf(F.col("n"), F.col("df")) * F.col("qtf")).alias("w"))  # one corpus row
-    tf = F.col("tf")
-    part = F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = weighted.join(postings, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))
-    return top_k(scores, k)
+    weighted, _ = materialize(q.join(terms, "term").select("query_id", "term", (idf(F.lit(n), F.col("df")) * F.col("qtf")).alias("w")), "query-weights")
+    numbered = weighted.select("query_id").distinct()
+    blocks = max(1, -(-numbered.count() // block))
+    out = None
+    for i in range(blocks):
+        rows = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()  # about ``block`` queries
+        ids = sorted(rows["query_id"].unique().tolist())
+        number = {x: j for j, x in enumerate(ids)}
+        by_term = {w: (g["query_id"].map(number).to_numpy(), g["w"].to_numpy()) for w, g in rows.groupby("term")}
+        held = spark.sparkContext.broadcast((ids, by_term, float(avgdl or 1.0)))
+        best = docs.mapInPandas(_scored(held, k, k1, b), f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(docs.dtypes)['doc_id']}, score double")
+        out = best if out is None else out.unionByName(best)
+    return top_k(out, k)
 
 
 def top_k(scores: DataFrame, k: int | None, score: str = "score") -> DataFrame:
@@ -47,6 +105,23 @@ def top_k(scores: DataFrame, k: int | None, score: str = "score") -> DataFrame:
     return ranked.where(F.col("rank") <= k) if k else ranked
 
 
+# fixed values: names of product attributes and the entity types they stand for; others stand for themselves in capitals
+ATTRIBUTES = {"brand": "BRAND", "product_type": "PRODUCT_TYPE", "color": "COLOR", "material": "MATERIAL", "size": "SIZE_MEASURE"}
+
+
+def attribute_index(docs: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
+    """(doc_id, entity_type, value): distinct lower-case trimmed values of attribute columns, text, arrays or numbers; null and
+    empty ones are no attributes. A column's name says its type."""
+    kinds, none = dict(docs.dtypes), F.array().cast("array<struct<entity_type:string,value:string>>")
+
+    def of(c: str) -> Column:
+        values = F.col(c).cast("array<string>") if kinds[c].startswith("array") else F.array(F.col(c).cast("string"))
+        held = F.filter(values, lambda v: v.isNotNull() & (v != ""))
+        return F.coalesce(F.transform(held, lambda v: F.struct(F.lit(ATTRIBUTES.get(c.lower(), c.upper())).alias("entity_type"), F.lower(F.trim(v)).alias("value"))), none)
+
+    return docs.select(key, F.explode(F.concat(*[of(c) for c in columns])).alias("x")).select(key, "x.*").distinct()
+
+
 def matches(ranked: DataFrame, query_attrs: DataFrame, doc_attrs: DataFrame) -> DataFrame:
     """Per ranked pair and query value whether the document has it: its attribute of the type equals or contains the value.
     ``query_attrs`` is (query_id, entity_type, value), ``doc_attrs`` (doc_id, entity_type, value), both lower case."""
@@ -90,3 +165,15 @@ def grid_search(ranked: DataFrame, query_attrs: DataFrame, doc_attrs: DataFrame,
     w = Window.partitionBy("combo", "query_id").orderBy(F.desc("score"), "doc_id")
     metrics = ranking_metrics(scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), relevant, queries, k, ["combo"])
     return grid.join(metrics, "combo")
+
+
+def best_weights(grid: DataFrame, by: str = "ndcg") -> DataFrame:
+    """The first combination of a grid search that none exceeds."""
+    return grid.orderBy(F.desc(by), "combo").limit(1)
+
+
+def evaluate_retrieval(ranked: DataFrame, query_attrs: DataFrame, doc_attrs: DataFrame, relevant: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(system, queries, ndcg, recall, mrr) of the ranking as it is, cut to k, and of it reranked by attributes. A query
+    without attributes keeps its order in both."""
+    two = top_k(ranked.drop("rank"), k).withColumn("system", F.lit("baseline")).unionByName(rerank(ranked, query_attrs, doc_attrs, k).drop("boost").withColumn("system", F.lit("rerank")))
+    return ranking_metrics(two, relevant, queries, k, ["system"])

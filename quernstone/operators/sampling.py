@@ -1,7 +1,7 @@
 """Dominant values, stratified samples and splits. Chance is the md5 of seed and id: the same on every run and cluster.
 
 Ranks inside a stratum would sort a stratum of any size in one task; here each row's rank comes from counts of hash
-buckets, which are summed first, plus its rank inside its own bucket.
+buckets, which are summed first, plus its rank inside its own bucket. A stratum has as many buckets as its size asks for.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+BUCKET_ROWS = 50_000  # rows of a stratum that one task ranks, on average
 
 
 def chance(seed: int, key: str) -> Column:
@@ -31,15 +31,19 @@ def fractions(df: DataFrame, column: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(total)).select(column, "rows", (F.col("rows") / F.col("total")).alias("fraction"))  # total is one row
 
 
-def hash_rank(df: DataFrame, stratum: str, key: str, seed: int) -> DataFrame:
-    """``df`` plus rn, the row's place 1..n in its stratum by (md5, key), and cnt, the stratum's size."""
-    hashed = df.withColumn("_h", chance(seed, key)).withColumn("_b", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
-    sizes = hashed.groupBy(stratum, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(stratum).orderBy("_b")
-    starts = sizes.select(stratum, "_b", (F.sum("_n").over(before) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(stratum)).alias("cnt"))
-    inside = Window.partitionBy(stratum, "_b").orderBy("_h", key)
-    ranked = hashed.withColumn("_r", F.row_number().over(inside)).join(starts, [stratum, "_b"])
-    return ranked.withColumn("rn", F.col("_before") + F.col("_r")).drop("_h", "_b", "_before", "_r")
+def hash_rank(df: DataFrame, stratum: str, key: str, seed: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``df`` plus rn, the row's place 1..n in its stratum by (md5, key), and cnt, the stratum's size. Null is a stratum too."""
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("cnt")).withColumn("_k", F.ceil(F.col("cnt") / bucket_rows))
+    of = sizes.withColumnRenamed(stratum, "_s")  # a row a stratum
+    hashed = df.withColumn("_h", chance(seed, key)).join(of, F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s")
+    # ranges of the first 28 bits, so that buckets lie in the order of the hashes
+    bucket = F.floor(F.conv(F.substring("_h", 1, 7), 16, 10).cast("long") * F.col("_k") / F.lit(1 << 28)).cast("long")
+    hashed = hashed.withColumn("_b", bucket)
+    counts = hashed.groupBy(F.col(stratum).alias("_s"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
+    before = counts.select("_s", "_c", (F.sum("_n").over(Window.partitionBy("_s").orderBy("_c")) - F.col("_n")).alias("_before"))
+    ranked = hashed.withColumn("_r", F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h", key)))
+    placed = ranked.join(before, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")))
+    return placed.withColumn("rn", F.col("_before") + F.col("_r")).select(*df.columns, "cnt", "rn")
 
 
 def quotas(df: DataFrame, stratum: str, n: int) -> DataFrame:
@@ -62,10 +66,13 @@ def stratified_sample(df: DataFrame, n: int, stratum: str, key: str, seed: int =
 
 
 def fold_tiny(df: DataFrame, stratum: str, least: int = 2, other: str = "_other") -> DataFrame:
-    """Strata of fewer than ``least`` rows become ``other``; one stratum left over means no strata."""
-    counts = df.groupBy(stratum).agg(F.count("*").alias("_n"))
-    kept = df.join(counts, stratum, "left").withColumn(stratum, F.when(F.col("_n") < least, F.lit(other)).otherwise(F.col(stratum))).drop("_n")
-    return kept
+    """Strata of fewer than ``least`` rows become ``other``; if fewer than two strata are left, all rows are of ``other``, which
+    is no stratification."""
+    counts = df.groupBy(stratum).agg(F.count("*").alias("_n")).withColumn("_to", F.when(F.col("_n") < least, F.lit(other)).otherwise(F.col(stratum)))
+    left = F.size(F.collect_set("_to").over(Window.partitionBy(F.lit(1))))  # a row a stratum
+    to = counts.select(F.col(stratum).alias("_s"), F.when(left < 2, F.lit(other)).otherwise(F.col("_to")).alias("_to"))
+    kept = df.join(to, F.col(stratum).eqNullSafe(F.col("_s")), "left")
+    return kept.select(*[F.col("_to").alias(c) if c == stratum else F.col(c) for c in df.columns])
 
 
 def stratified_split(df: DataFrame, stratum: str, key: str, ratios: tuple[float, float, float] = (0.70, 0.15, 0.15), seed: int = 42) -> DataFrame:
@@ -78,15 +85,17 @@ def stratified_split(df: DataFrame, stratum: str, key: str, ratios: tuple[float,
 
 
 def nested_subsets(df: DataFrame, sizes: list[int], stratum: str, key: str, seed: int = 42) -> DataFrame:
-    """Rows with the label of every subset they are in; a smaller subset lies in each larger one. Labels are the size in
+    """Rows with the label of every subset they are in, from one ranking; a smaller subset lies in each larger one. Labels are the size in
     thousands with its decimals, so that 2500 and 2000 differ; a size beyond the table means all of it."""
     ranked = hash_rank(df, stratum, key, seed)
-    out = None
+    every = None
     for size in sizes:
-        q = quotas(df, stratum, size).select(stratum, "quota")
-        part = ranked.join(F.broadcast(q), stratum).where("rn <= quota").select(*df.columns, F.lit(f"{size / 1000:g}k").alias("subset"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        q = quotas(df, stratum, size).select(stratum, F.lit(f"{size / 1000:g}k").alias("subset"), "quota")
+        every = q if every is None else every.unionByName(q)
+    of = every.groupBy(F.col(stratum).alias("_s")).agg(F.collect_list(F.struct("subset", "quota")).alias("_q"))  # a row a stratum
+    placed = ranked.join(F.broadcast(of), F.col(stratum).eqNullSafe(F.col("_s")))
+    inside = F.explode(F.filter("_q", lambda x: F.col("rn") <= x["quota"]))
+    return placed.select(*df.columns, inside.alias("_x")).select(*df.columns, "_x.subset")
 
 
 def first_by_chance(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:

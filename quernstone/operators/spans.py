@@ -27,7 +27,7 @@ def islands(tags: Column) -> Column:
 
     def step(a: Column, tag: Column) -> Column:
         tag = F.coalesce(tag, F.lit("O"))
-        kind, is_b = F.substring(tag, 3, 1_000), tag.startswith("B-")
+        kind, is_b = F.substr(tag, F.lit(3)), tag.startswith("B-")
         live = is_b | tag.startswith("I-")
         goes_on = tag.startswith("I-") & (a["kind"] == kind) & (a["kind"] != "")
         nxt = a["i"] + 1

@@ -40,6 +40,11 @@ FLOATS = {
     "multi_seed_agg": "mean std",
     "latency_stats": "mean_ms std_ms min_ms max_ms throughput",
     "coarse_consistency": "mismatch",
+    "rarity_gain": "fine_precision fine_recall fine_f1 coarse_precision coarse_recall coarse_f1 precision_gain recall_gain f1_gain",
+    "sparsity_summary": "avg_rare_f1 avg_common_f1 coarse_f1",
+    "error_buckets": "rate",
+    "correction_rate": "rate kappa",
+    "type_confusion_corrected": "value",
 }
 
 

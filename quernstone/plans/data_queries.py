@@ -88,18 +88,18 @@ def text_abbrev(spark, d):
     return _products(spark, d).select("product_id", "product_locale", text.expand_abbreviations(F.col("product_title")).alias("expanded"))
 
 
-_PREP = f"WITH c AS (SELECT product_id, product_title, {_clean_sql('product_title')} AS query_clean FROM {PR} WHERE product_locale = 'us'), t AS (SELECT *, len(string_split(query_clean, ' ')) AS num_tokens FROM c WHERE query_clean <> '') "
+_PREP = f"WITH c AS (SELECT product_id, product_title, {_clean_sql('product_title')} AS query_clean FROM {PR}), t AS (SELECT *, len(string_split(query_clean, ' ')) AS num_tokens FROM c WHERE query_clean <> '') "
 
 
 @query(_PREP + "SELECT product_id, query_clean, num_tokens FROM t WHERE num_tokens BETWEEN 2 AND 8")
 def text_tokenize_filter(spark, d):
-    t = _products(spark, d).where("product_locale = 'us'").select("product_id", text.clean_text(F.col("product_title")).alias("query_clean")).where("query_clean <> ''")
+    t = _products(spark, d).select("product_id", text.clean_text(F.col("product_title")).alias("query_clean")).where("query_clean <> ''")
     return t.withColumn("num_tokens", F.size(text.tokenize(F.col("query_clean"))).cast("long")).where(F.col("num_tokens").between(2, 8))
 
 
 @query(_PREP + "SELECT query_clean, num_tokens, min(product_title) AS product_title FROM t WHERE num_tokens BETWEEN 2 AND 20 GROUP BY ALL")
 def text_dedup_first(spark, d):
-    t = text.preprocess(_products(spark, d).where("product_locale = 'us'").select("product_title"), "product_title")
+    t = text.preprocess(_products(spark, d).select("product_title"), "product_title")
     return t.select("query_clean", "num_tokens", "product_title")
 
 
@@ -144,7 +144,7 @@ def stratified_split(spark, d):
     return P.stratified_split(_strata(spark, d), "stratum", "query_id").select("query_id", "stratum", "split")
 
 
-@query(f"WITH {_DOM} SELECT query_id, CASE WHEN count(*) OVER (PARTITION BY stratum) < 100 THEN '_other' ELSE stratum END AS stratum FROM dom")
+@query(f"WITH {_DOM}, f AS (SELECT query_id, CASE WHEN count(*) OVER (PARTITION BY stratum) < 100 THEN '_other' ELSE stratum END AS stratum FROM dom) SELECT query_id, CASE WHEN (SELECT count(DISTINCT stratum) FROM f) < 2 THEN '_other' ELSE stratum END AS stratum FROM f")
 def tiny_strata_fold(spark, d):
     return P.fold_tiny(_strata(spark, d), "stratum", 100).select("query_id", "stratum")
 
@@ -176,16 +176,17 @@ def fuzzy_ratio(spark, d):
 
 
 @query(
-    "WITH t AS (SELECT query_id, list_transform(query_tokens, lambda x: coalesce(x, '')) AS toks, list_filter(regexp_split_to_array(lower(product_brand[1]), '\\s+'), lambda x: x <> '') AS words FROM train WHERE query_tokens IS NOT NULL AND product_brand[1] IS NOT NULL), "
-    "w AS (SELECT query_id, i, len(words) AS m, array_to_string(toks[i + 1:i + len(words)], ' ') AS a, array_to_string(words, ' ') AS b FROM (SELECT *, unnest(range(0, len(toks) - len(words) + 1)) AS i FROM t WHERE len(words) BETWEEN 1 AND len(toks))), "
-    f"r AS (SELECT query_id, i, m, CASE WHEN a = b THEN 1000.0 WHEN 200.0 * least(length(a), length(b)) / (length(a) + length(b)) < 85 THEN 0 ELSE 200.0 * {_LCS}[-1] / (length(a) + length(b)) END AS r FROM w), "
-    "best AS (SELECT * FROM r WHERE r >= 85 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC, i) = 1) "
-    'SELECT t.query_id, i::INT AS "start", (i + m - 1)::INT AS "end" FROM t LEFT JOIN best USING (query_id)'
+    "WITH t AS (SELECT *, list_filter(regexp_split_to_array(phrase, '\\s+'), lambda x: x <> '') AS words FROM (SELECT query_id, list_transform(query_tokens, lambda x: coalesce(x, '')) AS toks, unnest(list_distinct(list_transform(product_brand, lambda x: lower(x)))) AS phrase FROM train WHERE query_tokens IS NOT NULL)), "
+    "w AS (SELECT query_id, phrase, i, len(words) AS m, array_to_string(toks[i + 1:i + len(words)], ' ') AS a, array_to_string(words, ' ') AS b FROM (SELECT *, unnest(range(0, len(toks) - len(words) + 1)) AS i FROM t WHERE len(words) BETWEEN 1 AND len(toks))), "
+    f"r AS (SELECT query_id, phrase, i, m, CASE WHEN a = b THEN 1000.0 WHEN 200.0 * least(length(a), length(b)) / (length(a) + length(b)) < 85 THEN 0 ELSE 200.0 * {_LCS}[-1] / (length(a) + length(b)) END AS r FROM w), "
+    "best AS (SELECT * FROM r WHERE r >= 85 QUALIFY row_number() OVER (PARTITION BY query_id, phrase ORDER BY r DESC, i) = 1) "
+    'SELECT t.query_id, t.phrase, i::INT AS "start", (i + m - 1)::INT AS "end" FROM t LEFT JOIN best USING (query_id, phrase)'
 )
 def fuzzy_span(spark, d):
-    """Where the first brand of its products lies in a query of train, in any close spelling."""
-    t = table(spark, d, "train").select("query_id", "query_tokens", F.lower(F.get("product_brand", F.lit(0))).alias("phrase")).where("query_tokens is not null and phrase is not null")
-    return t.select("query_id", fuzzy.window_udf("query_tokens", "phrase").alias("w")).select("query_id", "w.start", "w.end")
+    """Where each brand of its products lies in a query of train, in any close spelling."""
+    brands = F.array_distinct(F.transform("product_brand", F.lower))
+    t = table(spark, d, "train").where("query_tokens is not null").select("query_id", "query_tokens", F.explode(brands).alias("phrase"))
+    return t.select("query_id", "phrase", fuzzy.window_udf("query_tokens", "phrase").alias("w")).select("query_id", "phrase", "w.start", "w.end")
 
 
 @query()

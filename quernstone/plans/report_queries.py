@@ -17,7 +17,7 @@ EX, PR = "shopping_queries_dataset_examples", "shopping_queries_dataset_products
 TOP = 20
 
 # the catalogue is the corpus, the cleaned queries of val are the queries, products judged E are relevant
-_RET = rf"""docs AS (SELECT product_id AS doc_id, min(product_title) AS text, min(lower(trim(product_brand))) AS brand, min(lower(trim(product_color))) AS color FROM {PR} WHERE product_title IS NOT NULL GROUP BY 1),
+_RET = rf"""docs AS (SELECT product_id AS doc_id, min(product_title) AS text, min(lower(trim(product_brand))) AS brand, min(lower(trim(product_color))) AS color, min(lower(trim(product_category))) AS product_type FROM {PR} WHERE product_title IS NOT NULL GROUP BY 1),
 dt AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS term FROM docs), dl AS (SELECT doc_id, count(*) AS dl FROM dt GROUP BY 1), avgdl AS (SELECT sum(dl) / (SELECT count(*) FROM docs) AS avgdl, (SELECT count(*) FROM docs) AS n FROM dl),
 po AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM po GROUP BY 1),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(query_clean), '\s+'), lambda x: x <> '')) AS term FROM val) GROUP BY ALL),
@@ -25,7 +25,7 @@ sc AS (SELECT query_id, doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) +
 r40 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= {2 * TOP}),
 rel AS (SELECT DISTINCT query_id, product_id AS doc_id FROM {EX} WHERE esci_label = 'E' AND query_id IN (SELECT query_id FROM val) AND product_id IS NOT NULL)"""
 _ATT = f"""tok AS (SELECT query_id AS id, i - 1 AS p, w AS token, CASE WHEN t LIKE 'B-%' OR t LIKE 'I-%' THEN t ELSE 'O' END AS gold, 'O' AS pred FROM (SELECT query_id, unnest(query_tokens[1:least(len(query_tokens), len(ner_tags))]) AS w, unnest(ner_tags[1:least(len(query_tokens), len(ner_tags))]) AS t, unnest(range(1, least(len(query_tokens), len(ner_tags)) + 1)) AS i FROM val WHERE query_tokens IS NOT NULL AND ner_tags IS NOT NULL)),
-{SPANS}, qa AS (SELECT DISTINCT id AS query_id, entity_type, lower(trim(txt)) AS value FROM spans WHERE side = 'g' AND rb AND trim(txt) <> ''), da AS (SELECT doc_id, 'BRAND' AS entity_type, brand AS has FROM docs WHERE brand <> '' UNION SELECT doc_id, 'COLOR', color FROM docs WHERE color <> ''),
+{SPANS}, qa AS (SELECT DISTINCT id AS query_id, entity_type, lower(trim(txt)) AS value FROM spans WHERE side = 'g' AND rb AND trim(txt) <> ''), da AS (SELECT doc_id, 'BRAND' AS entity_type, brand AS has FROM docs WHERE brand <> '' UNION SELECT doc_id, 'COLOR', color FROM docs WHERE color <> '' UNION SELECT doc_id, 'PRODUCT_TYPE', product_type FROM docs WHERE product_type <> ''),
 mt AS (SELECT DISTINCT r.query_id, r.doc_id, qa.entity_type, qa.value FROM r40 r JOIN qa USING (query_id) JOIN da ON da.doc_id = r.doc_id AND da.entity_type = qa.entity_type WHERE contains(has, value))"""
 _METRICS = """hm AS (SELECT {by} q.query_id, rank, (rel.doc_id IS NOT NULL)::INT AS rel FROM {ranked} q LEFT JOIN rel ON rel.query_id = q.query_id AND rel.doc_id = q.doc_id WHERE rank <= 10),
 hm2 AS (SELECT *, row_number() OVER (PARTITION BY {by} query_id ORDER BY rel DESC, rank) AS best FROM hm),
@@ -34,7 +34,7 @@ _MEANS = "count(*) AS queries, coalesce(avg(coalesce(dcg / nullif(idcg, 0), 0)),
 
 
 def _retrieval(spark, d, k=2 * TOP):
-    docs = table(spark, d, PR).where("product_title is not null").groupBy(F.col("product_id").alias("doc_id")).agg(F.min("product_title").alias("text"), F.min(F.lower(F.trim("product_brand"))).alias("brand"), F.min(F.lower(F.trim("product_color"))).alias("color"))
+    docs = table(spark, d, PR).where("product_title is not null").groupBy(F.col("product_id").alias("doc_id")).agg(F.min("product_title").alias("text"), F.min(F.lower(F.trim("product_brand"))).alias("brand"), F.min(F.lower(F.trim("product_color"))).alias("color"), F.min(F.lower(F.trim("product_category"))).alias("product_type"))
     queries = table(spark, d, "val").select("query_id", F.col("query_clean").alias("query"))
     ranked = R.bm25(queries, R.index(docs), k)
     relevant = table(spark, d, EX).where("esci_label = 'E' and product_id is not null").select("query_id", F.col("product_id").alias("doc_id")).join(queries.select("query_id"), "query_id", "left_semi").distinct()
@@ -44,8 +44,7 @@ def _retrieval(spark, d, k=2 * TOP):
 def _attributes(spark, d, docs):
     t = table(spark, d, "val").where("query_tokens is not null and ner_tags is not null").select("query_id", F.col("query_tokens").alias("tokens"), F.col("ner_tags").alias("gold_tags"))
     q = t.select("query_id", F.explode(X.slots(X.attributes("gold_tags"))).alias("s")).select("query_id", F.col("s.t").alias("entity_type"), F.col("s.v").alias("value")).where("value <> ''")
-    doc = docs.select("doc_id", F.explode(F.create_map(F.lit("BRAND"), "brand", F.lit("COLOR"), "color")).alias("entity_type", "value")).where("value <> ''")
-    return q, doc
+    return q, R.attribute_index(docs, ["brand", "color", "product_type"]).where("value <> ''")
 
 
 @query(f"WITH {_RET} SELECT query_id, doc_id, score, rank FROM r40 WHERE rank <= {TOP}")
@@ -115,20 +114,20 @@ def conll_lines(spark, d):
     return t.select("query_id", files.conll_block(F.col("query_tokens"), F.col("ner_tags")).alias("block"))
 
 
-@query(f"WITH {TOK}, l AS (SELECT id, string_agg(gold, ' ' ORDER BY p) AS gold, string_agg(pred, ' ' ORDER BY p) AS pred FROM tok GROUP BY id) SELECT id AS query_id, 'events' AS model, gold AS gold_tags, pred AS pred_tags FROM l UNION ALL SELECT id, 'none', gold, '' FROM l")
+@query(f"WITH {TOK}, l AS (SELECT id, string_agg(gold, ' ' ORDER BY p) AS gold, string_agg(pred, ' ' ORDER BY p) AS pred FROM tok GROUP BY id) SELECT id AS query_id, 'changed' AS model, gold AS gold_tags, pred AS pred_tags FROM l UNION ALL SELECT id, 'none', gold, '' FROM l")
 def predictions_long(spark, d):
     """One row per query and model; a model without a prediction has an empty one."""
     p = pairs(spark, d)
-    got = p.select("query_id", F.lit("events").alias("model"), F.col("pred_tags").alias("tags"))
-    long = files.predictions(p.drop("pred_tags"), got, ["events", "none"])
+    got = p.select("query_id", F.lit("changed").alias("model"), F.col("pred_tags").alias("tags"))
+    long = files.predictions(p.drop("pred_tags"), got, ["changed", "none"])
     return long.select("query_id", "model", F.array_join("gold_tags", " ").alias("gold_tags"), F.array_join("pred_tags", " ").alias("pred_tags"))
 
 
-@query(f"WITH {TOK}, t AS (SELECT *, CASE token WHEN 'click' THEN 'B-BRAND' WHEN 'signup' THEN 'B-COLOR' ELSE 'O' END AS rule FROM tok) SELECT id AS query_id, string_agg(rule, ' ' ORDER BY p) AS tags FROM t GROUP BY id")
+@query(f"WITH {TOK}, t AS (SELECT *, CASE lower(token) WHEN 'steel' THEN 'B-MATERIAL' WHEN 'white' THEN 'B-COLOR' ELSE 'O' END AS rule FROM tok) SELECT id AS query_id, string_agg(rule, ' ' ORDER BY p) AS tags FROM t GROUP BY id")
 def predictor_udf(spark, d):
     """A registered predictor over token arrays; here a dictionary tagger."""
     p = pairs(spark, d).select("query_id", "tokens")
-    tagger = predict.dictionary({"click": "BRAND", "signup": "COLOR"})
+    tagger = predict.dictionary({"steel": "MATERIAL", "white": "COLOR"})
     return predict.apply(p, tagger, "tokens", "tags").select("query_id", F.array_join("tags", " ").alias("tags"))
 
 

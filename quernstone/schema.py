@@ -22,7 +22,7 @@ def schema_table(spark: SparkSession) -> DataFrame:
 
 def tag_type(tag: Column) -> Column:
     """The type of a tag; empty for O and null."""
-    return F.when(tag.startswith("B-") | tag.startswith("I-"), F.substring(tag, 3, 1_000)).otherwise(F.lit(""))
+    return F.when(tag.startswith("B-") | tag.startswith("I-"), F.substr(tag, F.lit(3))).otherwise(F.lit(""))
 
 
 def coarse_tag(tag: Column) -> Column:

@@ -33,6 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tables(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the Parquet tables in a folder."""
+    fs, p = hadoop_fs(spark, folder)
+    names = [x.getPath().getName() for x in fs.listStatus(p)]
+    return sorted(x.removesuffix(".parquet") for x in names if x.endswith(".parquet"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``); a local folder only on a local master."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
