@@ -16,12 +16,12 @@ CLASSES = {
     "sex": "sex sexo porn xxx nude nudes naked topless horny kinky naughty uncensored erotic orgasm blowjob handjob anal oral fuck bang strip stripping moaning undressed "
     "nackt nackte nackten bilder ficken geil desnuda desnudo desnudas follar tetas ropa",
     "body": "breasts breast nipples nipple thighs ass cock dick pussy tits boobs penis vagina underwear lap titten schwanz muschi polla coño culo",
-    "group": "foreigners immigrants migrants refugees women men muslims jews christians gays lesbians blacks whites asians people folk wheelchairs disabled old elderly drivers "
+    "group": "foreigners immigrants migrants refugees women men muslims jews christians gays lesbians blacks whites asians people disabled old elderly "
     "extranjeros inmigrantes mujeres musulmanes judíos negros ausländer migranten flüchtlinge frauen juden muslime",
     "base": "vermin rats cockroaches parasites animals savages subhuman disease criminals thieves liars scum plague apes dogs "
     "ratas parásitos animales cucarachas plaga ratten parasiten ungeziefer tiere schmarotzer",
-    "harm": "kill die hang drown choke burn smash break beat beating stab shoot murder strangle rape destroy vanish vanished rot hell cages locked thrown fingers teeth "
-    "muérete mueras muere matar ojalá stirb sterben umbringen verrecke erhäng rausgeworfen verschwinde larguen cállate fresse",
+    "harm": "kill die hang drown choke burn smash break beat beating stab shoot murder strangle rape destroy rot hell "
+    "muérete mueras muere matar ojalá stirb sterben umbringen verrecke erhäng cállate fresse",
 }
 
 # fixed values: seed sentences, first the abusive ones

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quernstone.llm.lexicon import ABUSIVE, CLASSES, INNOCENT
 
 # bounds of the labelled sample the model is fitted on; everything is scored
-MAX_POSITIVE, MAX_NEGATIVE, MAX_CHARS = 3_000, 6_000, 50_000
+MAX_POSITIVE, MAX_NEGATIVE = 3_000, 6_000
 BITS, CHAIN, OVERLAP, MIN_DOCS, THRESHOLD = 18, 60, 30, 3, 0.5
 
 # fixed values: Cyrillic and Greek letters that look Latin, and signs that stand for letters
@@ -36,6 +36,7 @@ LOOKALIKE = str.maketrans("абвгдеёзіїјкмнорстухѕԁԛԝαβ
 SIGNS = str.maketrans("0134578@$!|+", "oieastbasiit")
 _TAG = regex.compile(r"<[^<>]*>")
 _SPACED = regex.compile(r"(?<![\p{L}\p{N}])\p{L}(?:([ ._\-])\p{L})(?:\1\p{L})+(?![\p{L}\p{N}])(?![._\-]\p{L})")
+_MAY_SPACE = re.compile(r"(?<![^\W_])[^\W_]([ ._\-])[^\W_]\1[^\W_]")  # a quick test: whatever _SPACED finds begins so
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}\p{Cf}@$*]+(?:[!|+'’][\p{L}\p{M}\p{N}@$*]+)*")
 _SENTENCE = regex.compile(r"(?<=[.!?…])\s+|\n+|\s{2,}")
 _CF = regex.compile(r"\p{Cf}+")
@@ -48,25 +49,36 @@ for _k, _words in enumerate(CLASSES.values()):
 _MARKED = frozenset(w for name in ("insult", "slight", "sex", "body", "base", "harm") for w in CLASSES[name].split())
 
 
+def sentences(text: str) -> list[tuple[int, str]]:
+    """(offset, sentence) of ``text``; markup tags become spaces, so offsets are those of the text."""
+    text = _TAG.sub(lambda m: " " * len(m.group()), text) if "<" in text else text
+    out, at = [], 0
+    for cut in _SENTENCE.finditer(text):
+        if cut.start() > at:
+            out.append((at, text[at : cut.start()]))
+        at = cut.end()
+    if at < len(text):
+        out.append((at, text[at:]))
+    return out
+
+
+def sentence_words(part: str) -> list[tuple[int, int, str]]:
+    """(start, end, raw word) of a sentence; letters that are spaced out are one word."""
+    out, i = [], 0
+    for m in [*(_SPACED.finditer(part) if _MAY_SPACE.search(part) else ()), None]:
+        s, e = m.span() if m else (len(part), len(part))
+        out += [(w.start(), w.end(), w.group()) for w in _TOKEN.finditer(part, i, s)]
+        if m:
+            out.append((s, e, regex.sub(r"[ ._\-]", "", part[s:e])))
+        i = e
+    return out
+
+
 def tokens(text: str) -> Iterator[list[tuple[int, int, str]]]:
     """Whole sentences as lists of (start, end, raw word); offsets are those of ``text``."""
-    blank = lambda m: " " * len(m.group())
-    text = _TAG.sub(blank, text)
-    at = 0
-    for cut in [*_SENTENCE.finditer(text), None]:
-        end = cut.start() if cut else len(text)
-        if end > at:
-            part, out, i = text[at:end], [], 0
-            spaced = [(m.start(), m.end()) for m in _SPACED.finditer(part)]
-            for s, e in [*spaced, (len(part), len(part))]:
-                out += [(at + m.start(), at + m.end(), m.group()) for m in _TOKEN.finditer(part, i, s)]
-                if e > s:
-                    out.append((at + s, at + e, regex.sub(r"[ ._\-]", "", part[s:e])))
-                i = e
-            if out:
-                yield out
-        if cut:
-            at = cut.end()
+    for at, part in sentences(text):
+        if words := sentence_words(part):
+            yield [(at + s, at + e, w) for s, e, w in words]
 
 
 def chains(n: int) -> list[tuple[int, int]]:
@@ -86,6 +98,8 @@ def joined(parts: list[np.ndarray], n: int) -> np.ndarray:
 
 def spans(p: np.ndarray) -> list[tuple[int, int]]:
     """First and last word of each run of words that are more likely abusive than THRESHOLD."""
+    if not p.size or p.max() <= THRESHOLD:
+        return []
     on = np.concatenate([[False], p > THRESHOLD, [False]])
     return list(zip(np.flatnonzero(on[1:] & ~on[:-1]).tolist(), (np.flatnonzero(on[:-1] & ~on[1:]) - 1).tolist()))
 
@@ -102,6 +116,20 @@ def plain(word: str) -> str:
     return w.replace("’", "'")
 
 
+class _Known(dict):
+    """Ids of the words seen so far; others are found when they are asked for."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[word] = self.find(word)
+        return got
+
+
 class Reader:
     """Words to ids of a vocabulary, undoing disguises for words it doesn't know."""
 
@@ -115,15 +143,10 @@ class Reader:
             if len(w) >= 4:
                 self.by_letters.setdefault("".join(sorted(w)), w)
         self.marked = [w for w in vocabulary if w in _MARKED and len(w) >= 3]
-        self._known: dict[str, int] = {}
+        self.known = _Known(self._find)
 
     def id(self, word: str) -> int:
-        got = self._known.get(word)
-        if got is None:
-            got = self._known[word] = self._find(word)
-            if len(self._known) > 500_000:
-                self._known.clear()
-        return got
+        return self.known[word]
 
     def _find(self, word: str) -> int:
         w = plain(word)
@@ -233,8 +256,9 @@ class Chain:
         self.moves = np.array([[2.0, -2.0], [-2.0, 2.0]])
         self.start = np.array([0.0, -1.0])
 
-    def marginals(self, feats: np.ndarray, mask: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """P(abusive) of each word and the expected number of each transition, sentences counted by ``weight``."""
+    def marginals(self, feats: np.ndarray, mask: np.ndarray, weight: np.ndarray | None = None, moving: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """P(abusive) of each word and, unless ``moving`` is off, the expected number of each transition, sentences counted by
+        ``weight``."""
         n, length = mask.shape
         e = np.zeros((n, length, 2))
         e[..., 1] = self.weights[feats].sum(axis=2)
@@ -249,6 +273,8 @@ class Chain:
             bwd[t] = np.where(mask[:, t + 1, None], prev, 0)
         z = np.logaddexp(fwd[-1][:, 0], fwd[-1][:, 1])
         p = np.exp(np.clip(fwd[..., 1] + bwd[..., 1] - z, -60, 0)).T * mask
+        if not moving:
+            return p, np.zeros((2, 2))
         on = (bwd + e.transpose(1, 0, 2))[1:]
         each = np.exp(np.clip(fwd[:-1, :, :, None] + self.moves + on[:, :, None, :] - z[:, None, None], -60, 0)) * mask.T[1:, :, None, None]
         return p, (each if weight is None else each * weight[:, None, None]).sum(axis=(0, 1))
@@ -299,41 +325,53 @@ def _by_length(sentences: list[np.ndarray], size: int) -> list[np.ndarray]:
 
 
 class Tagger:
+    """Reads sentences, each distinct one once: what was found in it is kept and looked up when it comes again."""
+
     def __init__(self, reader: Reader, chain: Chain):
         self.reader, self.chain = reader, chain
-        self._seen: dict[bytes, np.ndarray] = {}
+        self._found: dict[str, tuple[float, tuple[tuple[int, int], ...]]] = {}
 
     def words(self, sentences: list[np.ndarray]) -> list[np.ndarray]:
-        """P(abusive) of each word of each sentence; sentences seen before are looked up."""
+        """P(abusive) of each word of each sentence, given as ids; equal ones are figured once."""
         keys = [s.tobytes() for s in sentences]
-        new = {k: s for k, s in zip(keys, sentences) if k not in self._seen}
-        if len(self._seen) > 200_000:
-            self._seen.clear()
-            new = dict(zip(keys, sentences))
-        todo = list(new.values())
+        new = dict(zip(keys, sentences))
+        todo, found = list(new.values()), {}
         for x in _by_length(todo, 512) if todo else ():
             ids, mask = _padded([todo[i] for i in x])
-            p, _ = self.chain.marginals(features(ids, self.reader.bits), mask)
+            p, _ = self.chain.marginals(features(ids, self.reader.bits), mask, moving=False)
             for row, i in zip(p, x):
-                self._seen[todo[i].tobytes()] = row[: len(todo[i])].astype(np.float32)
-        return [self._seen[k] for k in keys]
-
-    def read(self, text: str) -> list[tuple[list[tuple[int, int, str]], np.ndarray]]:
-        return [(s, np.fromiter((self.reader.id(w) for _, _, w in s), dtype=np.int64, count=len(s))) for s in tokens(text) if s]
+                found[todo[i].tobytes()] = row[: len(todo[i])].astype(np.float32)
+        return [found[k] for k in keys]
+
+    def _learn(self, parts: list[str]) -> None:
+        known, read = self.reader.known, []
+        for part in parts:
+            words = [w for _, _, w in sentence_words(part)] if _MAY_SPACE.search(part) else _TOKEN.findall(part)
+            if words:
+                read.append((part, np.array([known[w] for w in words], dtype=np.int64)))
+        probs = iter(self.words([ids[a:b] for _, ids in read for a, b in chains(len(ids))]))
+        self._found.update(dict.fromkeys(parts, (0.0, ())))
+        for part, ids in read:
+            p = next(probs) if len(ids) <= CHAIN else joined([next(probs) for _ in chains(len(ids))], len(ids))
+            found = spans(p)
+            words = sentence_words(part) if found else ()  # places are only needed here
+            self._found[part] = (best(p), tuple((words[a][0], words[b][1]) for a, b in found))
 
     def documents(self, texts: list[str]) -> list[tuple[float, list[int], list[int]]]:
         """(score, starts, ends of the abusive spans) of each text."""
-        read = [self.read(t) for t in texts]
-        probs = iter(self.words([ids[a:b] for doc in read for _, ids in doc for a, b in chains(len(ids))]))
+        read = [sentences(t) for t in texts]
+        if len(self._found) > 200_000:
+            self._found.clear()
+        new = {part for doc in read for _, part in doc if part not in self._found}
+        self._learn(sorted(new))
         out = []
         for doc in read:
             score, starts, ends = 0.0, [], []
-            for s, _ in doc:
-                p = joined([next(probs) for _ in chains(len(s))], len(s))
-                score = max(score, best(p))
-                for a, b in spans(p):
-                    starts.append(s[a][0])
-                    ends.append(s[b][1])
+            for at, part in doc:
+                own, found = self._found[part]
+                score = max(score, own)
+                starts += [at + a for a, _ in found]
+                ends += [at + b for _, b in found]
             out.append((score, starts, ends))
         return out
 
@@ -419,19 +457,20 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 6) -> Ta
         tagger.chain.fit([sentences[i] for i in use], words, w[use], reader.bits, epochs)
         probs = tagger.words(sentences)
         label = np.array([best(p) for p in probs])
-    tagger._seen.clear()
     return tagger
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """At most MAX_POSITIVE and MAX_NEGATIVE labelled texts, by hash of their id. Raters decide by majority; nulls do not
-    count, ties and texts over MAX_CHARS (of this sample only) are left out."""
+    count, ties are left out. Ids are chosen first, so no more texts than these go to the driver; repeated ids bring each
+    of their texts."""
     votes = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.avg("toxic").alias("share")).where("share <> 0.5").select("doc_id", (F.col("share") > 0.5).cast("int").alias("y"))
-    rows = documents.where(F.col("text").isNotNull() & (F.length("text") <= MAX_CHARS)).select("doc_id", "text").join(votes, "doc_id")
-    out = []
-    for y, most in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE)):
-        out += [(r.text, y) for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most).collect()]
-    return out
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    known = votes.join(texts.select("doc_id"), "doc_id", "left_semi")
+    chosen = [r for y, n in ((1, MAX_POSITIVE), (0, MAX_NEGATIVE)) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
+    ids = documents.sparkSession.createDataFrame(chosen, "doc_id long, y int")
+    rows = texts.join(F.broadcast(ids), "doc_id").collect()  # MAX_POSITIVE + MAX_NEGATIVE ids at most
+    return sorted(((r.text, r.y) for r in rows), key=lambda r: (-r[1], r[0]))
 
 
 _TAGGERS: dict[str, Tagger] = {}
