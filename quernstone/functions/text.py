@@ -122,16 +122,16 @@ def markup_tags(tokens: Column, tags: Column) -> Column:
     n = F.least(F.size(tokens), F.size(tags))
     pairs = F.arrays_zip(F.slice(tokens, F.lit(1), n).alias("w"), F.slice(tags, F.lit(1), n).alias("t"))
     start = F.struct(F.lit("").alias("out"), F.lit("").alias("open"), F.lit("").alias("kind"))
-    closed = lambda a: F.when(a["open"] != "", F.concat(a["out"], F.lit(" ["), a["open"], F.lit("]("), a["kind"], F.lit(")"))).otherwise(a["out"])
+    closed = lambda a: F.when(a["kind"] != "", F.concat(a["out"], F.lit(" ["), a["open"], F.lit("]("), a["kind"], F.lit(")"))).otherwise(a["out"])
 
     def step(a: Column, x: Column) -> Column:
         w, t = x["w"], x["t"]
         return (
             F.when(t.startswith("B-"), F.struct(closed(a).alias("out"), w.alias("open"), F.substr(t, F.lit(3)).alias("kind")))
-            .when(t.startswith("I-") & (a["open"] != ""), F.struct(a["out"].alias("out"), F.concat(a["open"], F.lit(" "), w).alias("open"), a["kind"].alias("kind")))
+            .when(t.startswith("I-") & (a["kind"] != ""), F.struct(a["out"].alias("out"), F.concat(a["open"], F.lit(" "), w).alias("open"), a["kind"].alias("kind")))
             .when(t.startswith("I-"), a)
             .otherwise(F.struct(F.concat(closed(a), F.lit(" "), w).alias("out"), F.lit("").alias("open"), F.lit("").alias("kind")))
         )
 
-    return F.trim(F.aggregate(pairs, start, step, closed))
+    return F.substr(F.aggregate(pairs, start, step, closed), F.lit(2))  # each part has a space before it
 

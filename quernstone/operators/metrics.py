@@ -130,8 +130,7 @@ def latency(rows: DataFrame, by: list[str], value: str, run: str, warmup: int =
 
 def best_model(rows: DataFrame, value: str = "f1", model: str = "model") -> DataFrame:
     """The model of the greatest value, the first by name among equals, and that value."""
-    best = F.max(F.struct(F.coalesce(F.col(value), F.lit(0.0)).alias("v")))["v"]
-    return rows.withColumn("_best", best.over(Window.partitionBy(F.lit(1)))).where(F.coalesce(F.col(value), F.lit(0.0)) == F.col("_best")).agg(F.min(model).alias(model), F.max("_best").alias(value))  # a row a model
+    return rows.select(model, F.coalesce(F.col(value), F.lit(0.0)).alias(value)).orderBy(F.desc(value), model).limit(1)
 
 
 def lookup(rows: DataFrame, others: DataFrame, key: str, columns: dict[str, str], suffix: str = "", default: str = "-") -> DataFrame:
@@ -158,7 +157,8 @@ def formatted(df: DataFrame, forms: dict[str, str]) -> DataFrame:
     """Number columns as text in the given formats; absent columns are skipped, text passes through, null stays."""
     kinds = dict(df.dtypes)
     numbers = {c: f for c, f in forms.items() if kinds.get(c) in ("double", "float", "bigint", "int")}
-    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string(f, F.col(c).cast("double"))) for c, f in numbers.items()}) if numbers else df
+    named = {c: F.col(f"`{c}`") for c in numbers}
+    return df.withColumns({c: F.when(x.isNotNull(), F.format_string(numbers[c], x.cast("double"))) for c, x in named.items()}) if numbers else df
 
 
 FOUR = "%.4f"

@@ -43,6 +43,17 @@ FLOATS = {
     "rarity_gain": "fine_precision fine_recall fine_f1 coarse_precision coarse_recall coarse_f1 precision_gain recall_gain f1_gain",
     "sparsity_summary": "avg_rare_f1 avg_common_f1 coarse_f1",
     "error_buckets": "rate",
+    "best_model": "f1",
+    "metrics_unpivot": "value",
+    "efficiency_table": "total_params_millions trainable_params_millions training_time_seconds training_time_minutes avg_latency_ms std_latency_ms throughput_queries_per_sec",
+    "error_report": "value",
+    "class_imbalance": "imbalance",
+    "entities_per_query": "mean median",
+    "dataset_summary": "avg_tokens_per_query avg_entities_per_query",
+    "length_spread": "mean median",
+    "retrieval_comparison": "ndcg recall mrr",
+    "best_weights": "w_brand w_product_type w_color ndcg recall mrr",
+    "annotate_splits": "percent",
     "correction_rate": "rate kappa",
     "type_confusion_corrected": "value",
 }

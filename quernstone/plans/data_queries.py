@@ -189,13 +189,6 @@ def fuzzy_span(spark, d):
     return t.select("query_id", "phrase", fuzzy.window_udf("query_tokens", "phrase").alias("w")).select("query_id", "phrase", "w.start", "w.end")
 
 
-@query()
-def annotate_priority(spark, d):
-    """Weak tags of train from its product metadata."""
-    t = table(spark, d, "train").where("query_tokens is not null")
-    return A.annotate_table(t, out="silver").select("query_id", F.array_join("silver", " ").alias("silver"))
-
-
 _NORM = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
 _JOINED = "(SELECT string_agg(x, ' ' ORDER BY i) FROM (SELECT unnest({0}) AS x, generate_subscripts({0}, 1) AS i))"
 
