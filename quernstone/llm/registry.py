@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import brands, leaks, mixture, overlap, runs, splits, terms, toxicity
+from quernstone.llm import brands, leaks, mixture, oracles, overlap, runs, splits, terms, toxicity
 from quernstone.session import materialize, table
 
 EXAMPLES, SOURCES = "shopping_queries_dataset_examples", "shopping_queries_dataset_sources"
@@ -35,6 +35,17 @@ def p1_shares(spark, d):
     return splits.shares(materialize(_p1_split(spark, d), "split")[0])
 
 
+def p1_invariants(spark, d):
+    """What every assignment must keep: all queries once, no group and no judged product in two splits, and shares of all
+    queries and of every label within two in a hundred of their targets."""
+    split = materialize(_p1_split(spark, d), "split")[0]
+    groups = split.groupBy("grp").agg(F.countDistinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("divided_groups"))
+    judged = table(spark, d, EXAMPLES).select("query_id", splits.product_id(F.col("product_id")).alias("p")).where("p is not null").join(split.select("query_id", "split"), "query_id")
+    products = judged.groupBy("p").agg(F.countDistinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("divided_products"))
+    reached = splits.shares(split).agg(F.bool_and(F.abs(F.col("share") - F.col("target")) <= 0.02).alias("shares_reached"))
+    return split.agg(F.count("*").alias("queries")).crossJoin(groups).crossJoin(products).crossJoin(reached)  # one row each
+
+
 def _eval_rows(spark, d, *extra):
     val, test = (table(spark, d, t).select("query_id", "query", "query_tokens", F.lit(t).alias("eval_split")) for t in ("val", "test"))
     return val.unionByName(test)
@@ -143,6 +154,18 @@ def p7_report(spark, d):
     return _mix(spark, d)[1]
 
 
+def p7_invariants(spark, d):
+    """What every mixture must keep, per target source: no document more often than allowed, and the wanted size reached to
+    within its largest document, or all that the allowed repeats give."""
+    selection, report = _mix(spark, d)
+    largest = selection.groupBy("source").agg(F.max("tokens").alias("largest"), F.max("copies").alias("most"))
+    rows = report.where("max_repeats > 0").join(largest, "source", "left")
+    within = F.abs(F.col("wanted_tokens") - F.col("tokens")) <= 2 * F.col("largest")
+    full = F.col("tokens") == F.col("own_tokens") * F.col("max_repeats")
+    kept = F.coalesce(F.col("most") <= F.col("max_repeats"), F.lit(True))
+    return rows.select("source", "target_share", kept.alias("repeats_kept"), F.coalesce(within | full, F.col("own_tokens") == 0).alias("size_reached"))
+
+
 def p8_scores(spark, d):
     """Every document with its score and the offsets of its abusive spans."""
     documents = table(spark, d, "documents")
@@ -164,23 +187,6 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
 
-_TERMS_SQL = """
-WITH rows AS ({rows}),
-fields AS (SELECT 'query_tokens' AS field_name, row_number() OVER () AS r, query_tokens AS arr FROM rows WHERE query_tokens IS NOT NULL
-  UNION ALL SELECT 'ner_tags', row_number() OVER (), ner_tags FROM rows WHERE ner_tags IS NOT NULL),
-el AS (SELECT field_name, r, lower(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) AS term FROM (SELECT field_name, r, unnest(arr) AS t FROM fields) WHERE t IS NOT NULL),
-counts AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT r) AS records FROM el WHERE term <> '' GROUP BY ALL),
-totals AS (SELECT field_name, count(*) AS total FROM fields GROUP BY ALL),
-marked AS (SELECT c.field_name, term, occurrences, records, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.05 * total THEN 'common' END AS mark FROM counts c JOIN totals USING (field_name))
-"""
-_COLS = "query_id, query_tokens, ner_tags"
-
-
 def oracle_sql() -> dict[str, str]:
     """SQL that says the same; the other problems' queries are held against brute force in tests/llm."""
-    train = _TERMS_SQL.format(rows=f"SELECT {_COLS} FROM train")
-    return {
-        "p4_found": train + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
-        "p4_terms": train + "SELECT * FROM marked",
-        "p4_incremental": _TERMS_SQL.format(rows=f"SELECT {_COLS} FROM train UNION ALL SELECT {_COLS} FROM test") + "SELECT * FROM marked",
-    }
+    return oracles.sql()
