@@ -115,13 +115,14 @@ def dependent_rounding(rows: DataFrame, seed: int = 17, task_rows: int = TASK_RO
     ``doc_id`` is unique. Every level leaves at most one open document a task and source, so the levels grow with the
     logarithm of the rows; the last is one task of at most ``task_rows`` rows or of one a source.
     """
-    open_, level, out = rows.select("doc_id", "source", "tokens", "prob"), 0, []
+    open_, level, out, paths = rows.select("doc_id", "source", "tokens", "prob"), 0, [], []
     order = ["source", F.desc("tokens"), "doc_id"]
     n, before = open_.count(), None
     while n:
         # ranges of a source's sizes; where a level no longer helps, one row a source and task is left
         laid = open_.coalesce(1) if n <= task_rows or n == before else open_.repartitionByRange(*order)
-        rounded, _ = materialize(laid.sortWithinPartitions(*order).mapInPandas(_rounder(seed, level), _ROUNDED), f"rounded-{level}")
+        rounded, path = materialize(laid.sortWithinPartitions(*order).mapInPandas(_rounder(seed, level), _ROUNDED), f"rounded-{level}")
+        paths.append(path)
         out.append(rounded.where("taken").select("doc_id", "source"))
         last = n <= task_rows or n == before
         open_ = rounded.where("not taken").select("doc_id", "source", "tokens", "prob")
@@ -133,6 +134,8 @@ def dependent_rounding(rows: DataFrame, seed: int = 17, task_rows: int = TASK_RO
     result = rows.select("doc_id", "source").limit(0)
     for part in out:
         result = result.unionByName(part)
+    result, _ = materialize(result, "rounded")
+    discard(rows.sparkSession, *paths)
     return result
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from quernstone.llm.reading import is_blank, words
 from quernstone.llm.runs import keyed
-from quernstone.session import materialize
+from quernstone.session import discard, materialize
 
 EDITS = 2
 HOT = 256  # texts of the rarer side up to which a shingle's texts are paired as they are
@@ -132,18 +132,20 @@ def prefixes(classes: DataFrame) -> DataFrame:
 
 def met(classes: DataFrame, hot: int = HOT) -> DataFrame:
     """(e, t) of all evaluation and training texts that share a shingle and pass the length and position filters."""
-    found, _ = materialize(prefixes(classes), "prefixes")
+    found, a = materialize(prefixes(classes), "prefixes")
     on = lambda side: F.count_if(F.col("side") == side)
-    over, _ = materialize(found.where("place >= 0").groupBy("shingle").agg(F.least(on("eval"), on("train")).alias("n")).where(F.col("n") > hot).select("shingle"), "hot-shingles")
+    over, b = materialize(found.where("place >= 0").groupBy("shingle").agg(F.least(on("eval"), on("train")).alias("n")).where(F.col("n") > hot).select("shingle"), "hot-shingles")
     plain = found.join(over, "shingle", "left_anti")
     side = lambda df, s, names: df.where(F.col("side") == s).select("shingle", *[F.col(a).alias(b) for a, b in names.items()])
     e, t = (side(plain, s, {"text_id": a, "size": n, "place": i}) for s, a, n, i in (("eval", "e", "n", "i"), ("train", "t", "m", "j")))
     pairs = e.join(t, "shingle").where("i = j and i < 0 or i >= 0 and j >= 0 and abs(n - m) <= 1 and 1 + least(n - i, m - j) >= greatest(n, m)").select("e", "t")
     # what the hot shingles held, and the one-word texts, which have no second word
     rest = found.join(over, "shingle").select("text_id", "shingle").unionByName(found.where("size = 1 and place = 0").select("text_id", F.lit(0).cast("long").alias("shingle")))
-    split, _ = materialize(rest.join(classes.select("text_id", "side", "bag"), "text_id").mapInPandas(_splitter, "side string, text_id long, shingle long"), "split-shingles")
+    split, c = materialize(rest.join(classes.select("text_id", "side", "bag"), "text_id").mapInPandas(_splitter, "side string, text_id long, shingle long"), "split-shingles")
     pairs = pairs.unionByName(side(split, "eval", {"text_id": "e"}).join(side(split, "train", {"text_id": "t"}), "shingle").select("e", "t"))
-    return pairs.distinct()
+    pairs, _ = materialize(pairs.distinct(), "candidates")
+    discard(classes.sparkSession, a, b, c)
+    return pairs
 
 
 def text_classes(train: DataFrame, evaluation: DataFrame) -> tuple[DataFrame, DataFrame]:

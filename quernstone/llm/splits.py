@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.components import connected
 from quernstone.llm.runs import format_copies
-from quernstone.session import materialize, scratch_path
+from quernstone.session import discard, materialize, scratch_path
 
 PRODUCT_BASE = 1 << 62  # product nodes lie above all query ids, so a component's smallest node is a query
 LABELS = ("E", "S", "C", "I")
@@ -149,12 +149,12 @@ def stratified_split(rows: DataFrame, ratios: dict[str, float] = RATIOS) -> Data
     totals = rows.agg(*sums).first().asDict()
     if not totals["n"]:
         return rows.withColumn("split", F.lit(None).cast("string"))
-    groups, _ = materialize(rows.groupBy("grp").agg(*sums), "groups")
+    groups, a = materialize(rows.groupBy("grp").agg(*sums), "groups")
     order = label_order(groups)
     step = F.coalesce(*[F.when(F.col(x) > 0, i) for i, x in enumerate(order)])
     of_lead = F.coalesce(*[F.when(F.col(x) > 0, F.col(x)) for x in order])
     vectors = groups.groupBy(*DIMS).agg(F.count("*").alias("groups")).withColumn("step", step)
-    vectors, _ = materialize(vectors, "vectors")
+    vectors, b = materialize(vectors, "vectors")
     ordered = (r.asDict() | {"lead": order[r["step"]]} for r in vectors.orderBy("step", of_lead.desc(), *LABELS, F.desc("n")).toLocalIterator())
     path, planned = scratch_path(spark, "plan"), place(ordered, totals, ratios)
     schema = ", ".join(f"{d} long" for d in DIMS) + ", split string, first long, last long"
@@ -170,6 +170,7 @@ def stratified_split(rows: DataFrame, ratios: dict[str, float] = RATIOS) -> Data
     numbered = hashed.withColumn("at", inside).join(before, [*DIMS, "part"]).withColumn("at", F.col("at") + F.col("before"))
     placed = numbered.join(plan, list(DIMS)).where("at between first and last").select("grp", "split")
     placed, _ = materialize(placed, "placed")
+    discard(spark, a, b, path)
     return rows.join(placed, "grp", "left")
 
 

@@ -465,3 +465,33 @@ def test_spans_leave_the_rest_of_the_sentence():
         score, starts, ends = tagger.documents([text])[0]
         got = " ".join(text[a:b] for a, b in zip(starts, ends))
         assert score > toxicity.THRESHOLD and text.split()[-4] in got and len(got) < len(text) / 2, (text, got)
+
+
+def test_rows_with_nulls_repeats_and_extra_columns(spark):
+    """Clashing names and nulls in any column change nothing; repeated rows and ties have one defined result."""
+    long = "word " * 20_000
+    rows = [(1, "red mug"), (1, "red mug"), (2, None), (None, "red mug"), (3, long), (4, "")]
+    clash = lambda df: df.withColumns({c: F.lit(None).cast("string") for c in ("key", "bag", "text_id", "side", "rep", "n", "grp", "split", "tokens", "copies", "hash", "entry", "score")})
+    queries = clash(spark.createDataFrame([(i, t, None) for i, t in rows], "query_id long, query string, query_tokens array<string>"))
+    other = queries.withColumn("query_id", F.col("query_id") + 100)
+    pairs = sorted(map(tuple, overlap.overlaps(overlap.texts(queries), overlap.texts(other)).collect()))
+    assert pairs == [(101, 1), (103, 3)]
+    assert sorted((r.id, r.rep) for r in runs.format_copies(queries, "query_id", "query").collect()) == [(1, 1), (1, 1), (3, 3)]
+    documents = clash(spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id long, text string, source string"))
+    items = clash(spark.createDataFrame([(7, "word " * 12), (7, None), (None, "word")], "item_id long, text string"))
+    found = leaks.leaks(documents.select("doc_id", "text"), items.select("item_id", "text")).collect()
+    assert [(r.doc_id, r.item_id, r.edits) for r in found] == [(3, 7, 0)]
+    selection, report = mixture.mix(documents, spark.createDataFrame([("a", 1.0, 2), (None, 0.5, 1)], "source string, target_share double, max_repeats int"))
+    assert {r.doc_id for r in selection.collect()} == {1, 3} and report.count() == 1
+    scored = toxicity.score(documents, toxicity.Tagger(toxicity.Reader(["mug"]), toxicity.Chain())).collect()
+    assert Counter(r.doc_id for r in scored) == {1: 2, 2: 1, 3: 1, 4: 1} and all(r.score == 0 for r in scored if r.doc_id in (2, 4))
+    assert terms.table_terms(clash(spark.createDataFrame([(None, ["a", "a"]), (["b", None], None), (["b", None], None)], "query_tokens array<string>, ner_tags array<string>"))).where("term = 'b'").first().records == 2
+
+
+def test_labelled_sample_takes_ids_first(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 2)
+    documents = spark.createDataFrame([(i, f"text {i}") for i in range(8)] + [(9, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, "a"), (1, 1, "a"), (2, 1, "a"), (3, 1, "a"), (3, 0, "b"), (4, 0, "a"), (5, 0, None), (6, 7, "a"), (9, 1, "a"), (50, 1, "a"), (None, 1, "a")], "doc_id long, toxic int, rater string")
+    got = toxicity.labelled_sample(documents, labels)
+    assert sum(y for _, y in got) == 2 and {t for t, y in got if not y} == {"text 4", "text 5"}
+    assert {t for t, y in got if y} < {"text 0", "text 1", "text 2"}
