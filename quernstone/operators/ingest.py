@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-PARTS = 64  # parts that the labels of one query are packed in
-
-
 def resolve(folder: str, name: str, nested: str = "shopping_queries_dataset") -> str:
     """The first of ``folder/name`` and ``folder/nested/name`` that exists; the error names both."""
     tried = [Path(folder) / name, Path(folder) / nested / name]
@@ -42,27 +39,24 @@ def roll_up(joined: DataFrame, columns: list[str], order: list[Column], label: s
     """One row per non-null query: per metadata column the distinct values in first-seen order, and all labels, repeats and
     nulls included, in row order. Absent columns are skipped; none present leaves the distinct queries.
 
-    One pass: each row's values become (query, column, value) and are made distinct with map-side combining before any list
-    is built, so a query of many rows sends few. Its labels are packed in parts by a hash of their order, and only the parts
-    meet in one list, which is the result.
+    One pass: a row's values and its label become (query, column, value), and are counted with map-side combining before any
+    list is built; values merge to their first place, labels only with others of the same place. A query's one list is
+    then what the result holds.
     """
     present = [c for c in columns if c in joined.columns]
     if not present:
         return joined.where(F.col("query").isNotNull()).select("query").distinct()
     at = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    known = joined.where(F.col("query").isNotNull())
-    values = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).alias("v")) for i, c in enumerate(present)])
-    each = known.select("query", at.alias("o"), F.explode(F.filter(values, lambda x: (x["c"] == 0) | x["v"].isNotNull())).alias("x")).select("query", "o", "x.*")
-    first = each.groupBy("query", "c", "v").agg(F.min("o").alias("o"))
-    lists = first.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("c", "o", "v"))).alias("l"))
-    pick = lambda i: F.transform(F.filter("l", lambda x: (x["c"] == i) & x["v"].isNotNull()), lambda x: x["v"])
-    out = lists.select("query", *[pick(i).alias(c) for i, c in enumerate(present)])
-    if label in joined.columns:
-        part = F.pmod(F.xxhash64(at), F.lit(PARTS))
-        packed = known.select("query", part.alias("p"), F.struct(at.alias("o"), F.col(label).alias("v")).alias("x")).groupBy("query", "p").agg(F.collect_list("x").alias("x"))
-        labels = packed.groupBy("query").agg(F.array_sort(F.flatten(F.collect_list("x"))).alias("l"))
-        out = out.join(labels.select("query", F.transform("l", lambda x: x["v"]).alias(label)), "query")
-    return out
+    known = joined.where(F.col("query").isNotNull()).withColumn("_o", at)
+    cell = lambda c, v, own: F.struct(F.lit(c).alias("c"), v.alias("v"), F.when(F.lit(own), F.col("_o")).alias("p"))
+    values = F.filter(F.array(*[cell(i, F.col(c), False) for i, c in enumerate(present)]), lambda x: x["v"].isNotNull())
+    label_of = F.array(cell(-1, F.col(label) if label in joined.columns else F.lit(None).cast("string"), True))
+    each = known.select("query", "_o", F.explode(F.concat(label_of, values)).alias("x")).select("query", "_o", "x.*")
+    first = each.groupBy("query", "c", "v", "p").agg(F.min("_o").alias("o"), F.count("*").cast("int").alias("n"))
+    lists = first.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("c", "o", "v", "n"))).alias("l"))
+    pick = lambda i: F.transform(F.filter("l", lambda x: x["c"] == i), lambda x: x["v"])
+    labels = F.flatten(F.transform(F.filter("l", lambda x: x["c"] == -1), lambda x: F.array_repeat(x["v"], x["n"])))
+    return lists.select("query", *[pick(i).alias(c) for i, c in enumerate(present)], *([labels.alias(label)] if label in joined.columns else []))
 
 
 def null_profile(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.text import bm25_tokens
 from quernstone.operators.metrics import ratio
-from quernstone.session import materialize
+from quernstone.session import materialize, spread
 
 # fixed values: the parameters of the score, the weights of matched types and those that the grid search tries
 K1, B = 1.5, 0.75
@@ -25,7 +25,7 @@ def index(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame, Da
     t, _ = materialize(docs.select("doc_id", bm25_tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w")), "index")
     terms = t.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     corpus = t.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    return t, terms, corpus
+    return spread(t), terms, corpus
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -40,7 +40,8 @@ def _scored(held, k: int, k1: float, b: float):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, by_term, avgdl = held.value
-        best: list[tuple[np.ndarray, list]] = [(np.empty(0), []) for _ in ids]
+        best: list[list[tuple[float, object]]] = [[] for _ in ids]  # (-score, document), the best first
+        least = np.full(len(ids), 1e-12)  # what a document must reach to get in
         for pdf in batches:
             for i in range(0, len(pdf), DOCS):
                 part = pdf.iloc[i : i + DOCS]
@@ -55,19 +56,18 @@ def _scored(held, k: int, k1: float, b: float):
                     at, tf = np.unique(held_by, return_counts=True)
                     queries, weights = by_term[w]
                     scores[np.ix_(queries, at)] += np.outer(weights, tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[at] / avgdl)))
-                scores = np.round(scores, 9)
-                some = np.flatnonzero((scores > 0).any(axis=1))
-                for q in some:
-                    own, names = scores[q], best[q][1]
-                    least = best[q][0][-1] if len(names) >= k else 0.0
-                    at = np.flatnonzero(own >= least) if least else np.flatnonzero(own > 0)
+                np.round(scores, 9, out=scores)
+                for q in np.flatnonzero(scores.max(axis=1) >= least).tolist():
+                    own = scores[q]
+                    at = np.flatnonzero(own >= least[q])
                     if len(at) > k:  # those that equal the k-th stay in until ties are settled
                         at = at[own[at] >= np.partition(own[at], -k)[-k]]
-                    joined = sorted([*zip(-best[q][0], names), *((-own[j], docs[j]) for j in at.tolist())])[:k]
-                    best[q] = np.array([-s for s, _ in joined]), [d for _, d in joined]
-        for q, (own, names) in zip(ids, best):
-            if names:
-                yield pd.DataFrame({"query_id": q, "doc_id": names, "score": own})
+                    best[q] = sorted([*best[q], *((-own[j], docs[j]) for j in at.tolist())])[:k]
+                    if len(best[q]) == k:
+                        least[q] = -best[q][-1][0]
+        for i in range(0, len(ids), 1_000):
+            rows = [(q, d, -s) for q, held_by in zip(ids[i : i + 1_000], best[i : i + 1_000]) for s, d in held_by]
+            yield pd.DataFrame(rows, columns=["query_id", "doc_id", "score"])
 
     return run
 
@@ -91,13 +91,16 @@ def bm25(queries: DataFrame, idx: tuple[DataFrame, DataFrame, DataFrame], k: int
     out = None
     for i in range(blocks):
         rows = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()  # about ``block`` queries
-        ids = sorted(rows["query_id"].unique().tolist())
-        number = {x: j for j, x in enumerate(ids)}
-        by_term = {w: (g["query_id"].map(number).to_numpy(), g["w"].to_numpy()) for w, g in rows.groupby("term")}
+        number, ids = pd.factorize(rows["query_id"], sort=True)
+        term, terms_held = pd.factorize(rows["term"])
+        at = np.argsort(term, kind="stable")
+        ends = np.flatnonzero(np.diff(term[at])) + 1
+        by_term = dict(zip(terms_held.tolist(), zip(np.split(number[at], ends), np.split(rows["w"].to_numpy()[at], ends))))
+        ids = ids.tolist()
         held = spark.sparkContext.broadcast((ids, by_term, float(avgdl or 1.0)))
         best = docs.mapInPandas(_scored(held, k, k1, b), f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(docs.dtypes)['doc_id']}, score double")
         out = best if out is None else out.unionByName(best)
-    return top_k(out, k)
+    return materialize(top_k(out, k), "ranking")[0]  # at most k rows a query, which rerankers read more than once
 
 
 def top_k(scores: DataFrame, k: int | None, score: str = "score") -> DataFrame:

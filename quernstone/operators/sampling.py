@@ -1,7 +1,7 @@
 """Dominant values, stratified samples and splits. Chance is the md5 of seed and id: the same on every run and cluster.
 
 Ranks inside a stratum would sort a stratum of any size in one task; here each row's rank comes from counts of hash
-buckets, which are summed first, plus its rank inside its own bucket. A stratum has as many buckets as its size asks for.
+buckets, which are summed first, plus its rank inside its own bucket. There are as many buckets as the table's size asks for.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 50_000  # rows of a stratum that one task ranks, on average
+BUCKET_ROWS = 50_000  # rows that one bucket of the largest possible stratum holds, on average
 
 
 def chance(seed: int, key: str) -> Column:
@@ -33,14 +33,13 @@ def fractions(df: DataFrame, column: str) -> DataFrame:
 
 def hash_rank(df: DataFrame, stratum: str, key: str, seed: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``df`` plus rn, the row's place 1..n in its stratum by (md5, key), and cnt, the stratum's size. Null is a stratum too."""
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("cnt")).withColumn("_k", F.ceil(F.col("cnt") / bucket_rows))
-    of = sizes.withColumnRenamed(stratum, "_s")  # a row a stratum
-    hashed = df.withColumn("_h", chance(seed, key)).join(of, F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s")
+    buckets = max(1, -(-df.count() // bucket_rows))  # enough for a stratum that holds all rows
     # ranges of the first 28 bits, so that buckets lie in the order of the hashes
-    bucket = F.floor(F.conv(F.substring("_h", 1, 7), 16, 10).cast("long") * F.col("_k") / F.lit(1 << 28)).cast("long")
-    hashed = hashed.withColumn("_b", bucket)
+    bucket = F.floor(F.conv(F.substring("_h", 1, 7), 16, 10).cast("long") * buckets / F.lit(1 << 28)).cast("long")
+    hashed = df.withColumn("_h", chance(seed, key)).withColumn("_b", bucket)
     counts = hashed.groupBy(F.col(stratum).alias("_s"), F.col("_b").alias("_c")).agg(F.count("*").alias("_n"))
-    before = counts.select("_s", "_c", (F.sum("_n").over(Window.partitionBy("_s").orderBy("_c")) - F.col("_n")).alias("_before"))
+    every = Window.partitionBy("_s")
+    before = counts.select("_s", "_c", (F.sum("_n").over(every.orderBy("_c")) - F.col("_n")).alias("_before"), F.sum("_n").over(every).alias("cnt"))
     ranked = hashed.withColumn("_r", F.row_number().over(Window.partitionBy(stratum, "_b").orderBy("_h", key)))
     placed = ranked.join(before, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")))
     return placed.withColumn("rn", F.col("_before") + F.col("_r")).select(*df.columns, "cnt", "rn")

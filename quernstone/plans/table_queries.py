@@ -15,7 +15,7 @@ from quernstone.operators import spans as S
 from quernstone.plans.base import SQL, query
 from quernstone.plans.report_queries import _ATT, _MEANS, _METRICS, _RET, TOP, _attributes, _retrieval
 from quernstone.plans.tag_queries import PRF, TOK, counted, counts_sql, pairs
-from quernstone.session import scratch_path, table
+from quernstone.session import scratch_path, spread, table
 
 MODELS = ["m0", "m1", "m2", "m3"]
 _MODEL = ", grp AS (SELECT id, 'm' || (id % 4) AS g FROM len)"
@@ -309,7 +309,7 @@ def annotate_sql(source: str = "train") -> str:
 @query(f"SELECT query_id, array_to_string(tags, ' ') AS silver FROM ({annotate_sql()})")
 def annotate_priority(spark, d):
     """Weak tags of train from its product metadata."""
-    t = table(spark, d, "train").where("query_tokens is not null")
+    t = spread(table(spark, d, "train").where("query_tokens is not null").select("query_id", "query_tokens", "product_title", "product_brand", "product_color", "product_bullet_point"))
     return A.annotate_table(t, out="silver").select("query_id", F.array_join("silver", " ").alias("silver"))
 
 

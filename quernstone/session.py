@@ -33,6 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over at least as many tasks as there are cores: where small files make fewer, rows are dealt anew, so that work
+    that takes long for each row does not wait for one task. Larger tables stay as they lie. Only for plans without a
+    shuffle, as the number of their tasks is known before they run."""
+    n = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(n) if scan.rdd.getNumPartitions() < n else scan
+
+
 def tables(spark: SparkSession, folder: str) -> list[str]:
     """Names of the Parquet tables in a folder."""
     fs, p = hadoop_fs(spark, folder)
