@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernstone.llm import brands, leaks, mixture, oracles, overlap, runs, splits, terms, toxicity
-from quernstone.session import materialize, table
+from quernstone.session import materialize, spread, table
 
 EXAMPLES, SOURCES = "shopping_queries_dataset_examples", "shopping_queries_dataset_sources"
 
@@ -123,7 +123,7 @@ def p5_unmatched(spark, d):
 
 
 def _leaks(spark, d):
-    return leaks.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_passages").select("item_id", "text"))
+    return leaks.leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_passages").select("item_id", "text"))
 
 
 def p6_found(spark, d):
@@ -141,7 +141,7 @@ def p6_items(spark, d):
 
 
 def _mix(spark, d):
-    return mixture.mix(table(spark, d, "documents").select("doc_id", "source", "text"), table(spark, d, "mixture_targets"))
+    return mixture.mix(spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mixture_targets"))
 
 
 def p7_selection(spark, d):
@@ -168,7 +168,7 @@ def p7_invariants(spark, d):
 
 def p8_scores(spark, d):
     """Every document with its score and the offsets of its abusive spans."""
-    documents = table(spark, d, "documents")
+    documents = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
     tagger = toxicity.train(toxicity.labelled_sample(documents.select("doc_id", "text"), table(spark, d, "doc_labels")))
     return toxicity.score(documents, tagger)
 

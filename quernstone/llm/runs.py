@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quernstone.llm.components import connected
 from quernstone.llm.reading import folded, is_blank, plain_key, record_key
-from quernstone.session import materialize
+from quernstone.session import discard, materialize
 
 _SCAN = "kind string, id long, rep long, first_run boolean, copies long, part int, head string, tail string"
 
@@ -96,8 +96,12 @@ def keyed(rows: DataFrame, id_col: str, text_col: str, *keep: str, **more: Calla
     fields = both.where("plain is not null")
     if fields.isEmpty():
         return both.select("id", "key", *names)
-    common, _ = materialize(_closure(fields.select("plain", "key").distinct()), "readings")
-    known = both.withColumn("plain", F.coalesce("plain", "key")).join(common, "plain", "left")
+    common = fields.groupBy("plain").agg(F.min("key").alias("common"), F.max("key").alias("other"))
+    common, path = materialize(common, "readings")
+    if not common.where("common <> other").isEmpty():  # some characters read as several records
+        common, _ = materialize(_closure(fields.select("plain", "key").distinct()), "readings")
+        discard(both.sparkSession, path)
+    known = both.withColumn("plain", F.coalesce("plain", "key")).join(common.select("plain", "common"), "plain", "left")
     return known.select("id", F.coalesce("common", "key").alias("key"), *names)
 
 

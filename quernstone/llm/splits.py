@@ -64,7 +64,7 @@ def query_groups(examples: DataFrame, tables: list[DataFrame]) -> DataFrame:
     flags = [F.max((esci(F.col("esci_label")) == x).cast("int")).alias(x) for x in LABELS]
     seen = examples.select("query_id", "esci_label").unionByName(reduce(DataFrame.unionByName, [t.select("query_id", F.lit(None).cast("string").alias("esci_label")) for t in tables]))
     vectors = seen.where("query_id is not null").groupBy("query_id").agg(*flags).na.fill(0, list(LABELS)).withColumn("n", F.lit(1))
-    labels, _ = materialize(query_labels(examples, tables), "labels")
+    labels = query_labels(examples, tables)
     query = F.col("node") < PRODUCT_BASE
     products = labels.where(~query).groupBy("label").agg(F.min("node").alias("product"))
     of = labels.where(query).join(products, "label", "left").select(F.col("node").alias("query_id"), "label", "product")
@@ -74,11 +74,13 @@ def query_groups(examples: DataFrame, tables: list[DataFrame]) -> DataFrame:
 def label_order(rows: DataFrame) -> list[str]:
     """The labels by how rare they are among what is outstanding: once the groups with the first are placed, the next is the
     rarest of the rest, and so on; last n, the queries without any label."""
+    held = sum(F.when(F.col(x) > 0, 1 << i).otherwise(0) for i, x in enumerate(LABELS))
+    sums = {r.held: r.asDict() for r in rows.groupBy(held.alias("held")).agg(*[F.sum(x).alias(x) for x in LABELS]).collect()}  # a row a set of labels
     order: list[str] = []
     while len(order) < len(LABELS):
-        left = [x for x in LABELS if x not in order]
-        open_ = rows.where(" and ".join(f"{x} = 0" for x in order) or "true").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in left]).first()
-        order.append(min(left, key=lambda x: (open_[x] == 0, open_[x], x)))
+        placed = sum(1 << LABELS.index(x) for x in order)
+        open_ = {x: sum(r[x] for h, r in sums.items() if not h & placed) for x in LABELS if x not in order}
+        order.append(min(open_, key=lambda x: (open_[x] == 0, open_[x], x)))
     return [*order, "n"]
 
 
@@ -155,7 +157,7 @@ def stratified_split(rows: DataFrame, ratios: dict[str, float] = RATIOS) -> Data
     of_lead = F.coalesce(*[F.when(F.col(x) > 0, F.col(x)) for x in order])
     vectors = groups.groupBy(*DIMS).agg(F.count("*").alias("groups")).withColumn("step", step)
     vectors, b = materialize(vectors, "vectors")
-    ordered = (r.asDict() | {"lead": order[r["step"]]} for r in vectors.orderBy("step", of_lead.desc(), *LABELS, F.desc("n")).toLocalIterator())
+    ordered = (r.asDict() | {"lead": order[r["step"]]} for r in vectors.orderBy("step", of_lead.desc(), *LABELS, F.desc("n")).toLocalIterator(prefetchPartitions=True))
     path, planned = scratch_path(spark, "plan"), place(ordered, totals, ratios)
     schema = ", ".join(f"{d} long" for d in DIMS) + ", split string, first long, last long"
     while part := list(islice(planned, PART)):

@@ -279,23 +279,23 @@ class Chain:
         each = np.exp(np.clip(fwd[:-1, :, :, None] + self.moves + on[:, :, None, :] - z[:, None, None], -60, 0)) * mask.T[1:, :, None, None]
         return p, (each if weight is None else each * weight[:, None, None]).sum(axis=(0, 1))
 
-    def fit(self, sentences: list[np.ndarray], labels: list[np.ndarray], weight: np.ndarray, bits: np.ndarray, epochs: int, seed: int = 5) -> None:
-        """``labels`` has a 0 or 1 for every word; features, moves and start follow expected less observed counts."""
+    def fit(self, batches: list[tuple], labels: list[np.ndarray], weight: np.ndarray, epochs: int, seed: int = 5) -> None:
+        """``batches`` as from :func:`prepared`; ``labels`` has a 0 or 1 for every word; features, moves and start follow
+        expected less observed counts. Only the features of a batch move with it."""
         rng = np.random.default_rng(seed)
-        batches = [(x, *_padded([sentences[i] for i in x]), _padded([labels[i] for i in x])[0]) for x in _by_length(sentences, 256)]
-        batches = [(weight[x], features(ids, bits), mask, y) for x, ids, mask, y in batches]
+        given = [(weight[x], feats, mask, own, at, _padded([labels[i] for i in x])[0]) for x, feats, mask, own, at in batches]
         squares = np.full(1 << BITS, 1e-2, dtype=np.float32)
         squares_moves, squares_start = np.full((2, 2), 1e-2), np.full(2, 1e-2)
         for epoch in range(epochs):
             rate = 0.15 / (1 + 0.3 * epoch)
-            for k in rng.permutation(len(batches)):
-                w, feats, mask, y = batches[k]
+            for k in rng.permutation(len(given)):
+                w, feats, mask, own, at, y = given[k]
                 p, expected = self.marginals(feats, mask, w)
                 gap = ((p - y) * w[:, None]).astype(np.float32)
-                grad = np.bincount(feats.reshape(-1), weights=np.broadcast_to(gap[:, :, None], feats.shape).reshape(-1), minlength=1 << BITS).astype(np.float32)
-                grad += 1e-4 * self.weights
-                squares += grad * grad
-                self.weights -= rate * grad / np.sqrt(squares)
+                grad = np.bincount(at, weights=np.broadcast_to(gap[:, :, None], feats.shape).reshape(-1), minlength=len(own)).astype(np.float32)
+                grad += 1e-4 * self.weights[own]
+                squares[own] += grad * grad
+                self.weights[own] -= rate * grad / np.sqrt(squares[own])
                 grad = expected - transitions(y, mask, w) + 1e-4 * self.moves
                 squares_moves += grad * grad
                 self.moves = self.moves - rate * grad / np.sqrt(squares_moves)
@@ -304,6 +304,18 @@ class Chain:
                 self.start = self.start - rate * grad / np.sqrt(squares_start)
 
 
+def prepared(sentences: list[np.ndarray], bits: np.ndarray) -> list[tuple]:
+    """Batches of sentences of like length for :meth:`Chain.fit`: their numbers, features, mask, the features that occur and
+    where each stands among them."""
+    out = []
+    for x in _by_length(sentences, 256):
+        ids, mask = _padded([sentences[i] for i in x])
+        feats = features(ids, bits)
+        own, at = np.unique(feats.reshape(-1), return_inverse=True)
+        out.append((x, feats, mask, own, at.astype(np.int32)))
+    return out
+
+
 def transitions(labels: np.ndarray, mask: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The number of each transition in labelled sentences, counted by ``weight``."""
     both = np.broadcast_to(weight[:, None], mask[:, 1:].shape)[mask[:, 1:]]
@@ -392,7 +404,9 @@ def pointed(ids: np.ndarray, bits: np.ndarray, odds: list[float], p: np.ndarray
 
 def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 6) -> Tagger:
     """A tagger from (text, label) documents; without any it rests on the seed sentences."""
-    split = [([[plain(w) for _, _, w in s] for s in tokens(t)], y) for t, y in sample]
+    raw = [([[w for _, _, w in s] for s in tokens(t)], y) for t, y in sample]
+    read = {w: plain(w) for doc, _ in raw for s in doc for w in s}
+    split = [([[read[w] for w in s] for s in doc], y) for doc, y in raw]
     seeds = [([s.split()], y) for part, y in ((ABUSIVE, 1), (INNOCENT, 0)) for s in part]
     docs_with = Counter(w for doc, _ in split for w in {w for s in doc for w in s if w.isalpha()})
     vocabulary = sorted({w for w, n in docs_with.items() if n >= MIN_DOCS} | set(_CLASS) | {w for doc, _ in seeds for s in doc for w in s})
@@ -401,14 +415,14 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 6) -> Ta
     sentences: list[np.ndarray] = []
 
     def known(words: list[str]) -> int:
-        ids = np.array([reader.id(w) for w in words], dtype=np.int64)
+        ids = np.array([reader.known[w] for w in words], dtype=np.int64)
         key = ids.tobytes()
         if key not in where:
             where[key] = len(sentences)
             sentences.append(ids)
         return where[key]
 
-    docs = [(sorted({known([w for _, _, w in s[a:b]]) for s in tokens(t) for a, b in chains(len(s))}), y) for t, y in sample]
+    docs = [(sorted({known(s[a:b]) for s in doc for a, b in chains(len(s))}), y) for doc, y in raw]
     seed_of = {known(doc[0]): y for doc, y in seeds}
     n = len(sentences)
     pos, neg = np.zeros(n), np.zeros(n)
@@ -429,7 +443,7 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 6) -> Ta
     guess = np.array([float(np.mean(sorted((odds(g) for g in gr), reverse=True)[:3])) if gr else 0.0 for gr in grams]) + telling
     label = 1 / (1 + np.exp(-(guess - 2.5)))
 
-    tagger, probs = Tagger(reader, Chain()), [None] * n
+    tagger, probs, batches = Tagger(reader, Chain()), [None] * n, prepared(sentences, reader.bits)
     for r in range(rounds):
         target, weight = np.zeros(n), np.zeros(n)
         for doc, y in docs:
@@ -451,11 +465,13 @@ def train(sample: list[tuple[str, int]], rounds: int = 3, epochs: int = 6) -> Ta
         for i, s in seed_of.items():
             y[i], w[i] = s, 2.0
         w[y == 1] *= 2.0
-        use = np.flatnonzero(w > 0)
-        words = [pointed(s, reader.bits, [odds(g) for g in zip(s[:-1].tolist(), s[1:].tolist())], probs[i]) if y[i] else np.zeros(len(s), dtype=np.int64) for i, s in ((i, sentences[i]) for i in use)]
+        words = [pointed(s, reader.bits, [odds(g) for g in zip(s[:-1].tolist(), s[1:].tolist())], probs[i]) if y[i] else np.zeros(len(s), dtype=np.int64) for i, s in enumerate(sentences)]
         tagger = Tagger(reader, Chain())
-        tagger.chain.fit([sentences[i] for i in use], words, w[use], reader.bits, epochs)
-        probs = tagger.words(sentences)
+        tagger.chain.fit(batches, words, w, epochs)
+        for x, feats, mask, _, _ in batches:
+            p, _ = tagger.chain.marginals(feats, mask, moving=False)
+            for row, i in zip(p, x):
+                probs[i] = row[: len(sentences[i])].astype(np.float32)
         label = np.array([best(p) for p in probs])
     return tagger
 

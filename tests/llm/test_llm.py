@@ -446,7 +446,7 @@ def test_chain_fits_moves_and_start_to_spans_inside_sentences():
         sentences.append(s)
         labels.append((s >= 20).astype(np.int64))
     bits, chain, first = np.zeros(30, dtype=np.int64), toxicity.Chain(), toxicity.Chain()
-    chain.fit(sentences, labels, np.ones(300), bits, 6)
+    chain.fit(toxicity.prepared(sentences, bits), labels, np.ones(300), 6)
     assert abs(chain.moves - first.moves).min() > 0.01 and abs(chain.start - first.start).min() > 0.01
     assert chain.start[1] < chain.start[0]
     mask = np.ones((300, 12), dtype=bool)
