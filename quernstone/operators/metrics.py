@@ -135,12 +135,12 @@ def best_model(rows: DataFrame, value: str = "f1", model: str = "model") -> Data
 
 def lookup(rows: DataFrame, others: DataFrame, key: str, columns: dict[str, str], suffix: str = "", default: str = "-") -> DataFrame:
     """``rows`` with columns of another metric table as text, by its key less ``suffix``; ``columns`` maps them to their number
-    formats. A key that is not there has ``default``; of rows that share a key the last in order of their own keys counts."""
+    formats. A key or figure that is not there has ``default``; of rows that share a key the last in order of their own keys counts."""
     plain = F.regexp_replace(F.col(key), f"{suffix}$", "") if suffix else F.col(key)
     held = others.select(plain.alias(key), F.struct(F.col(key), *columns).alias("_r")).groupBy(key).agg(F.max_by("_r", F.col(f"_r.{key}")).alias("_r"))
-    text = [F.coalesce(F.format_string(form, F.col(f"_r.{c}").cast("double")), F.lit(default)).alias(c) for c, form in columns.items()]
-    joined = rows.join(held, key, "left")
-    return joined.select(*rows.columns, *[F.when(F.col("_r").isNull(), F.lit(default)).otherwise(t).alias(c) for t, c in zip(text, columns)])
+    joined, value = rows.join(held, key, "left"), {c: F.col(f"_r.{c}") for c in columns}
+    text = [F.when(v.isNotNull(), F.format_string(columns[c], v.cast("double"))).otherwise(default).alias(c) for c, v in value.items()]
+    return joined.select(*rows.columns, *text)
 
 
 def medal(rank: Column) -> Column:
