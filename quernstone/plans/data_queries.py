@@ -3,6 +3,9 @@ tagged splits."""
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from quernstone.functions import fuzzy, text
@@ -67,13 +70,21 @@ def _abbrev_sql(col: str) -> str:
     return col
 
 
+def _decomposed() -> str:
+    """What characters decompose to, as a map, where plain characters are in it."""
+    pairs = [(chr(i), unicodedata.normalize("NFKD", chr(i))) for i in range(128, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and not 0xAC00 <= i < 0xD7A4]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return "MAP {" + ", ".join(f"{quoted(c)}: {quoted(k)}" for c, k in pairs if k != c and any(x < "\x80" for x in k)) + "}"
+
+
+_DECOMPOSED = _decomposed()
+
+
 def _clean_sql(col: str) -> str:
     for k, v in text.TYPOGRAPHIC.items():
         col = f"replace({col}, '{k}', '{v.replace(chr(39), chr(39) * 2)}')"
-    # decomposed letters lose their mark to a space; the alphabet of the tables
-    for letters, base in (("éèêë", "e"), ("ûúùü", "u"), ("öóôò", "o"), ("áàâä", "a"), ("íìîï", "i"), ("ñ", "n"), ("ç", "c")):
-        for c in letters:
-            col = f"replace(replace({col}, '{c}', '{base}´'), '{c.upper()}', '{base.upper()}´')"
+    # whatever decomposes into plain letters, digits or signs; the marks become spaces below
+    col = f"CASE WHEN regexp_matches({col}, '^[\\x00-\\x7f]*$') THEN {col} ELSE array_to_string(list_transform(regexp_extract_all({col}, '(?s).'), lambda c: CASE WHEN c < chr(128) THEN c ELSE coalesce({_DECOMPOSED}[c], c) END), '') END"
     col = f"regexp_replace({_abbrev_sql(col)}, '[^a-zA-Z0-9\\s\\-./]', ' ', 'g')"
     return f"coalesce(lower(trim(regexp_replace({col}, '\\s+', ' ', 'g'))), '')"
 

@@ -178,8 +178,8 @@ def test_metric_files_and_logs(spark, tmp_path):
     rows = files.read_seed_metrics(spark, str(tmp_path / "*" / "test_metrics.json"))
     r = metrics.seed_summary(rows, ["model"], "f1", "seed").first()
     assert (r.model, r.n_seeds, r.mean_std, r["values"]) == ("bert", 2, "0.6000 ± 0.1000", "0.5000|0.7000")
-    log = spark.createDataFrame([("'train_runtime': 34.5",), ("Total time: 12",), ("none",)], "t string")
-    assert [x[0] for x in log.select(files.training_time(F.col("t"))).collect()] == [34.5, 12.0, None]
+    log = spark.createDataFrame([("'train_runtime': 34.5",), ("Total training time: 12 s",), ("Training of x completed in 34 seconds",), ("34 SECONDS total",), ("none",)], "t string")
+    assert [x[0] for x in log.select(files.training_time(F.col("t"))).collect()] == [34.5, 12.0, 34.0, 34.0, None]
 
 
 def test_predictor_may_return_fewer_tags(spark):
@@ -203,3 +203,13 @@ def test_long_tables_are_not_cut(spark, form):
     assert "9999" in form(spark.range(10_000), ["id"])
     with pytest.raises(ValueError):
         form(spark.range(10_001), ["id"])
+
+
+def test_annotated_and_flagged_streams_equal_batches(spark, tmp_path):
+    df = spark.createDataFrame([(1, ["red", "mug"], ["Acme Mug"], ["Acme"], ["red"], ["B-COLOR", "O"]), (2, ["acme"], [], ["Acme"], None, ["O"]), (3, [], None, None, None, [])], "query_id long, query_tokens array<string>, product_title array<string>, product_brand array<string>, product_color array<string>, gold_tags array<string>")
+    df.write.parquet(str(tmp_path / "in"))
+    source = stateless.read_stream(spark, str(tmp_path / "in"), df.schema)
+    tagged = stateless.annotate_stream(source, out="pred_tags").withColumnRenamed("query_tokens", "tokens")
+    stateless.write_stream(stateless.flag_stream(tagged), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
+    got = {r.query_id: (r.pred_tags, r.error_types) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: (["B-COLOR", "B-PRODUCT_TYPE"], "FP"), 2: (["B-BRAND"], "FP"), 3: ([], "")}
