@@ -144,6 +144,10 @@ class Reader:
                 self.by_letters.setdefault("".join(sorted(w)), w)
         self.marked = [w for w in vocabulary if w in _MARKED and len(w) >= 3]
         self.known = _Known(self._find)
+        self.near: dict[str, list[int]] = {}  # marked words by what they are without a letter
+        for i, m in enumerate(self.marked):
+            for x in _shorter(m) if len(m) >= 5 else ():
+                self.near.setdefault(x, []).append(i)
 
     def id(self, word: str) -> int:
         return self.known[word]
@@ -172,15 +176,20 @@ class Reader:
             if other and other[0] == s[0] or other and other in _MARKED:
                 return self.ids[other]
             if signs != w or s != w or len(s) >= 6:
-                for m in self.marked:
-                    if abs(len(m) - len(s)) <= 1 and len(m) >= 5 and _one_edit(m, s):
-                        return self.ids[m]
+                for i in sorted({i for x in _shorter(s) for i in self.near.get(x, ())}):
+                    if abs(len(self.marked[i]) - len(s)) <= 1 and _one_edit(self.marked[i], s):
+                        return self.ids[self.marked[i]]
         for k in range(3, len(s) - 2) if len(s) <= 24 else ():
             if s[:k] in _MARKED and s[k:] in _MARKED and s[:k] in self.ids:
                 return self.ids[s[:k]]
         return 3 if signs != w else 1
 
 
+def _shorter(w: str) -> set[str]:
+    """A word and what it is without one of its letters; words one edit apart share one of these."""
+    return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+
+
 def _one_edit(a: str, b: str) -> bool:
     i, n = 0, min(len(a), len(b))
     while i < n and a[i] == b[i]:
@@ -365,8 +374,11 @@ class Tagger:
         self._found.update(dict.fromkeys(parts, (0.0, ())))
         for part, ids in read:
             p = next(probs) if len(ids) <= CHAIN else joined([next(probs) for _ in chains(len(ids))], len(ids))
-            found = spans(p)
-            words = sentence_words(part) if found else ()  # places are only needed here
+            top = float(p.max())
+            if top <= THRESHOLD:
+                self._found[part] = (top, ())
+                continue
+            found, words = spans(p), sentence_words(part)  # places are only needed here
             self._found[part] = (best(p), tuple((words[a][0], words[b][1]) for a, b in found))
 
     def documents(self, texts: list[str]) -> list[tuple[float, list[int], list[int]]]:
