@@ -67,7 +67,8 @@ def scanned(records: DataFrame) -> DataFrame:
     laid = records.select("key", "id").where("key is not null and id is not null").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
     scan, _ = materialize(laid.mapInPandas(_scan, _SCAN), "runs")
     rep_at, carried, tail = {}, None, None
-    for b in scan.where("kind = 'border'").select("part", "rep", "first_run", "head", "tail").orderBy("part").toLocalIterator():
+    borders = scan.where("kind = 'border'").select("part", "rep", "first_run", "head", "tail").collect()  # a row a partition
+    for b in sorted(borders, key=lambda b: b.part):
         goes_on = b.head == tail
         rep_at[b.part] = carried if goes_on else None
         carried, tail = (carried if goes_on and b.first_run else b.rep), b.tail
